@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_in_snapshot(table: DataFrame, number: str, key: Column, order: list[Column], fields: dict[str, Column]) -> DataFrame:
-    """(_no, _id, fields...): per snapshot and key the row with the greatest `order`, ties going to the greatest fields."""
-    rows = table.select(F.col(number).alias("_no"), key.alias("_id"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_o"), F.struct(*[e.alias(f) for f, e in fields.items()]).alias("_f"))
-    last = rows.where("_no is not null and _id is not null").groupBy("_no", "_id").agg(F.max(F.struct("_o", "_f")).alias("_m"))
-    return last.select("_no", "_id", *[F.col("_m")["_f"][f].alias(f) for f in fields])
+def latest_in_snapshot(table: DataFrame, number: str, key: Column, order: list[Column], fields: list[Column]) -> DataFrame:
+    """(_no, _id, _f): per snapshot and key the digest of the compared fields in the row with the greatest `order`, ties going to the
+    greatest digest. Rows are spread by key alone, which serves every later step, so this is the only shuffle of whole rows."""
+    marked = [F.coalesce(F.concat(F.lit("="), f.cast("string")), F.lit("")) for f in fields]
+    rows = table.select(F.col(number).alias("_no"), key.alias("_id"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_o"), F.unhex(F.sha2(F.concat_ws("\x1f", *marked), 256)).alias("_f"))
+    rows = rows.where("_no is not null and _id is not null").repartition("_id")
+    return rows.groupBy("_no", "_id").agg(F.max(F.struct("_o", "_f"))["_f"].alias("_f"))
 
 
-def snapshot_changes(table: DataFrame, number: str, key: Column, order: list[Column], fields: dict[str, Column]) -> DataFrame:
-    """(snapshot_no, id, change, old_<f>..., new_<f>...): the difference of each delivered snapshot to the one delivered before it.
+def snapshot_changes(table: DataFrame, number: str, key: Column, order: list[Column], fields: list[Column]) -> DataFrame:
+    """(snapshot_no, id, change): the difference of each delivered snapshot to the one delivered before it.
 
-    Within a snapshot the row with the greatest `order` counts for each key; rows equal in `order` are told apart by their fields, the
-    greatest winning, so the outcome never depends on the order of arrival. `fields` are the compared expressions, null being equal to
-    null only. A null key or number is no record and is left out. An empty table, or one snapshot, has no changes.
+    Within a snapshot the row with the greatest `order` counts for each key; rows equal in `order` are told apart by a digest of their
+    fields, so the outcome never depends on the order of arrival. `fields` are the compared expressions, null being equal to null only. A
+    null key or number is no record and is left out. An empty table, or one snapshot, has no changes.
     All pairs of snapshots are compared at once: EXCEPT ALL both ways over (pair, key, fields) drops what is identical, and a full join
     of the residues by key labels the rest. Only the list of distinct snapshot numbers is ever sorted in one place."""
     last = latest_in_snapshot(table, number, key, order, fields)
@@ -26,14 +28,12 @@ def snapshot_changes(table: DataFrame, number: str, key: Column, order: list[Col
     numbers = table.select(F.col(number).alias("_no")).where("_no is not null").distinct()
     numbers = numbers.select("_no", F.lead("_no").over(line).alias("_next"), F.lag("_no").over(line).alias("_prev"))
     placed = last.join(numbers, "_no")
-    later = placed.where("_prev is not null").select(F.col("_no").alias("pair"), "_id", *fields)
-    earlier = placed.where("_next is not null").select(F.col("_next").alias("pair"), "_id", *fields)
-    gained, gone = later.exceptAll(earlier), earlier.exceptAll(later)
-    old = gone.select("pair", "_id", F.lit(True).alias("_was"), *[F.col(f).alias(f"old_{f}") for f in fields])
-    new = gained.select("pair", "_id", F.lit(True).alias("_is"), *[F.col(f).alias(f"new_{f}") for f in fields])
+    later = placed.where("_prev is not null").select(F.col("_no").alias("pair"), "_id", "_f")
+    earlier = placed.where("_next is not null").select(F.col("_next").alias("pair"), "_id", "_f")
+    old = earlier.exceptAll(later).select("pair", "_id", F.lit(True).alias("_was"))
+    new = later.exceptAll(earlier).select("pair", "_id", F.lit(True).alias("_is"))
     label = F.when(F.col("_was").isNull(), "added").when(F.col("_is").isNull(), "removed").otherwise("changed")
-    both = old.join(new, ["pair", "_id"], "full_outer")
-    return both.select(F.col("pair").alias("snapshot_no"), F.col("_id").alias("id"), label.alias("change"), *[f"old_{f}" for f in fields], *[f"new_{f}" for f in fields])
+    return old.join(new, ["pair", "_id"], "full_outer").select(F.col("pair").alias("snapshot_no"), F.col("_id").alias("id"), label.alias("change"))
 
 
 def run_disagreements(changes: DataFrame, project: Column, runs: DataFrame) -> DataFrame:

@@ -35,10 +35,9 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(forest(spark, d), tops)
 
 
-def _fields() -> dict[str, Column]:
-    out = {c: plain(c) for c in ("type", "name", "parent_id", "language", "source_hash")}
-    out["source_hash"] = F.btrim(F.regexp_replace(out["source_hash"], "^sha256:", ""), F.lit(BLANKS))
-    return out
+def _fields() -> list[Column]:
+    digest = F.btrim(F.regexp_replace(plain("source_hash"), "^sha256:", ""), F.lit(BLANKS))
+    return [*(plain(c) for c in ("type", "name", "parent_id", "language")), digest]
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,29 @@ BLANKS = " \t\n\r\x0b\x0c\xa0"
 _own: list[str] = []
 
 
+_shipped: set[int] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per context."""
+    sc = spark.sparkContext
+    if id(sc) in _shipped:
+        return
+    _shipped.add(id(sc))
+    root = Path(__file__).resolve().parent
+    if root.parent.suffix == ".zip":
+        return
+    folder = tempfile.mkdtemp(prefix="graphloom-")
+    _own.append(folder)
+    with zipfile.ZipFile(f"{folder}/graphloom_package.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*")):
+            if f.suffix in (".py", ".gr"):
+                z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(f"{folder}/graphloom_package.zip")
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
