@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from graphloom.llm import lexers
 from graphloom.llm.glr import END, Recogniser, build
 
-GRAMMARS = Path(__file__).parent / "grammars"
 #: extension: language, grammar files (later rules replace earlier ones), lexer
 LANGUAGES = {
     "py": ("python", ("python",), lexers.Python),
@@ -31,7 +30,7 @@ class Parser:
 
     def __init__(self, ext: str):
         _, files, lexer = LANGUAGES[ext]
-        table = build("\n".join((GRAMMARS / f"{f}.gr").read_text() for f in files))
+        table = build("\n".join(pkgutil.get_data(__package__, f"grammars/{f}.gr").decode() for f in files))
         self.ext, self.lexer, self.rec = ext, lexer(table.terminals), Recogniser(table, lexer.asi)
 
     def first_error(self, text: str) -> tuple[int, str] | None:
