@@ -124,7 +124,7 @@ def parse_files(files: DataFrame, key: str, path: str, text: str, keep: list[str
     that language. error_line is null for a valid file. A null text is an empty file; other extensions and null paths are left out.
     Files go through narrow tasks, so no shuffle is made; a worker builds each grammar's table once."""
     rows = files.select(F.col(key), *keep, extension(F.col(path)).alias("_ext"), F.coalesce(F.col(text), F.lit("")).alias("_text")).where(F.col("_ext").isin(*LANGUAGES))
-    schema = rows.select(key, *keep).schema.add("parsed_as", "string").add("error_line", "int").add("error_token", "string")
+    schema = rows.select(key, *keep).schema.add("parsed_as", "string").add("error_line", "integer").add("error_token", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
