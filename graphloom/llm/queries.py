@@ -5,8 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import parses, spans
-from graphloom.session import load
+from graphloom.llm import leaks, mixing, parses, spans, splitting, survivors
+from graphloom.session import load, materialize, plain
+
+FIELDS = ["type", "description", "language", "source_hash"]
+
+
+def _claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    records = load(spark, d, "node_records")
+    claimed = materialize(survivors.claims(records, FIELDS))
+    weight = survivors.reliabilities(claimed)
+    return survivors.surviving_values(claimed, load(spark, d, "merge_conflicts"), weight), survivors.group_sizes(records)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    values, sizes = _claims(spark, d)
+    groups = sizes.where("n_records > 1").select("gid")
+    return values.join(groups, "gid", "left_semi").select(F.col("gid").alias("node_id"), "field", "record_id")
+
+
+def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
+    values, sizes = _claims(spark, d)
+    return survivors.surviving_records(values, sizes, FIELDS)
+
+
+def p2_reliability(spark: SparkSession, d: str) -> DataFrame:
+    weight = survivors.reliabilities(survivors.claims(load(spark, d, "node_records"), FIELDS))
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in sorted(weight.items())], "source string, reliability double")
+
+
+def _located(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nodes, files = load(spark, d, "graph_nodes"), load(spark, d, "source_files")
+    items = nodes.select(plain("id").alias("id"), splitting.clean_path(F.col("location.file_path")).alias("path"), F.col("location.start_line").alias("a"), F.col("location.end_line").alias("b"))
+    return items, files.select(F.col("file_path").alias("path"), "text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_items(*_located(spark, d), with_text=False).where("piece_no = 1").select("id")
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_items(*_located(spark, d))
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
@@ -46,12 +85,75 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_per_record(docs, "doc_id", "text", found, copies)
 
 
-_QUERIES = (p5_found, p5_rates, p5_errors, p10_found, p10_spans, p10_shared)
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "passage")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every item with the number of documents it leaked into."""
+    items = load(spark, d, "eval_items").select("item_id", "suite")
+    found = _leaks(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count_distinct("doc").alias("n_docs"), F.max("similarity").alias("most_similar"))
+    return items.join(found, "item_id", "left").select("item_id", "suite", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_similar", F.lit(0.0)).alias("most_similar"))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    counted = mixing.token_counts(load(spark, d, "documents"), "doc_id", "text", mixing.source_name("source"))
+    return mixing.mix(counted, load(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p9_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0].groupBy("doc_id", "source", "n_tokens").agg(F.max("repeat_no").alias("repeats"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
+_QUERIES = (p2_found, p2_survivors, p2_reliability, p3_found, p3_pieces, p5_found, p5_rates, p5_errors, p8_found, p8_leaks, p8_items, p9_mix, p9_repeats, p9_shares, p10_found, p10_spans, p10_shared)
 
 
 def queries() -> dict:
     return {f.__name__: f for f in _QUERIES}
 
 
+_OUTER = "' \t\n\r\x0b\x0c\xa0'"
+_EMPTY = f"(value IS NULL OR lower(trim(value, {_OUTER})) IN ('', 'unknown', 'n/a', 'none', 'tbd', '-', '?'))"
+_P2 = f"""records AS (SELECT DISTINCT lower(trim(node_id, {_OUTER})) AS gid, record_id, type, description, language, source_hash,
+    coalesce(list_position(['human', 'runtime', 'scanner', 'llm', 'import'], lower(trim(provenance, {_OUTER}))), 9) AS trust, CASE WHEN isnan(confidence) THEN NULL ELSE confidence END AS confidence, last_updated
+  FROM node_records WHERE node_id IS NOT NULL AND record_id IS NOT NULL),
+claims AS (SELECT * FROM (UNPIVOT records ON type, description, language, source_hash INTO NAME field VALUE value) WHERE NOT {_EMPTY}),
+latest AS (SELECT gid, field, CASE resolution WHEN 'keep_existing' THEN existing_value WHEN 'use_incoming' THEN incoming_value END AS decided FROM (
+  SELECT *, row_number() OVER (PARTITION BY gid, field ORDER BY decided_at DESC) AS k FROM (SELECT DISTINCT lower(trim(node_id, {_OUTER})) AS gid, field, resolution, existing_value, incoming_value, decided_at FROM merge_conflicts)) WHERE k = 1),
+ranked AS (SELECT c.*, row_number() OVER (PARTITION BY c.gid, c.field ORDER BY (c.value IS NOT DISTINCT FROM l.decided AND l.decided IS NOT NULL) DESC, trust, confidence DESC NULLS LAST, last_updated DESC NULLS LAST, record_id) AS k
+  FROM claims c LEFT JOIN latest l ON l.gid = c.gid AND l.field = c.field),
+best AS (SELECT * FROM ranked WHERE k = 1),
+sizes AS (SELECT gid, count(DISTINCT record_id) AS n_records FROM records GROUP BY gid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": f"WITH {_P2} SELECT gid AS node_id, field, record_id FROM best WHERE gid IN (SELECT gid FROM sizes WHERE n_records > 1)",
+        "p3_found": r"""WITH f AS (SELECT file_path, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS lens FROM source_files),
+n AS (SELECT id, regexp_replace(regexp_replace(replace(location.file_path, '\', '/'), '/{2,}', '/', 'g'), '^(\./|/)', '') AS path, least(location.start_line, location.end_line) AS a, greatest(location.start_line, location.end_line) AS b
+  FROM graph_nodes WHERE location.start_line IS NOT NULL AND location.end_line IS NOT NULL),
+p AS (SELECT n.id, list_slice(f.lens, greatest(a, 1), least(b, len(f.lens))) AS part FROM n JOIN f ON f.file_path = n.path)
+SELECT id FROM p WHERE len(part) > 0 AND list_sum(part) + len(part) - 1 > 6000""",
+        "p8_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(passage), '[a-z0-9]+') AS w FROM eval_items),
+dw AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 11), ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS k FROM d)),
+iw AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 11), ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""",
+        "p10_found": """WITH g AS (SELECT DISTINCT doc_id, md5(substr(text, k, 500)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 499)) AS k FROM documents))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    }
