@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import leaks, mixing, parses, spans, splitting, survivors
+from graphloom.llm import handwritten, leaks, mixing, parses, spans, splitting, survivors
 from graphloom.session import load, materialize, plain
 
 FIELDS = ["type", "description", "language", "source_hash"]
@@ -48,6 +48,14 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(*_located(spark, d))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_verdicts(spark, d).where("verdict <> 'handwritten'").select("file_id")
+
+
+def p4_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.verdicts(load(spark, d, "source_files"), "file_id", "file_path", "text")
+
+
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
     return parses.parse_files(load(spark, d, "source_files"), "file_id", "file_path", "text", ["project_id"])
 
@@ -121,7 +129,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-_QUERIES = (p2_found, p2_survivors, p2_reliability, p3_found, p3_pieces, p5_found, p5_rates, p5_errors, p8_found, p8_leaks, p8_items, p9_mix, p9_repeats, p9_shares, p10_found, p10_spans, p10_shared)
+_QUERIES = (p2_found, p2_survivors, p2_reliability, p3_found, p3_pieces, p4_found, p4_verdicts, p5_found, p5_rates, p5_errors, p8_found, p8_leaks, p8_items, p9_mix, p9_repeats, p9_shares, p10_found, p10_spans, p10_shared)
 
 
 def queries() -> dict:
