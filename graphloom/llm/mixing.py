@@ -116,7 +116,7 @@ def mix(counted: DataFrame, targets: DataFrame, block: int = 4096) -> tuple[Data
     base = F.sum("held").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select("source", "bucket", F.coalesce(base, F.lit(0)).alias("base"))  # at most BUCKETS rows for each source
     inside = Window.partitionBy("source", "bucket").orderBy(order, "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(offsets), ["source", "bucket"])
+    placed = rows.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(offsets, ["source", "bucket"])
     spark = counted.sparkSession
     table = spark.createDataFrame([(p.source, p.size, p.need, p.weight, p.slots) for p in plans], "source string, size long, need long, weight int, slots array<int>")
     at = F.col("base") + F.col("inner")
