@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.graph import Graph
 from graphloom.operators.store import simple_degrees
 from graphloom.operators.traverse import containment_depth, import_cycles
-from graphloom.session import discard, materialize
+from graphloom.session import discard, materialize, materialize_with
 
 #: Shares of the parts of importance, types and edges of semantic clusters.
 WEIGHTS = (0.5, 0.3, 0.2)
@@ -39,11 +39,12 @@ def pagerank(vertices: DataFrame, links: DataFrame, alpha: float = 0.85, rounds:
     for _ in range(rounds):
         got = coded.join(rank, "u").groupBy(F.col("v").alias("u")).agg(F.sum(F.col("r") * F.col("w")).alias("g"))
         value = F.lit(alpha) * (F.coalesce("g", F.lit(0.0)) + F.lit(lost / n)) + F.lit((1 - alpha) / n)
-        new = materialize(rank.join(got, "u", "left").select("u", value.alias("r"), "has", F.abs(value - F.col("r")).alias("moved")))
-        moved, lost = new.agg(F.sum("moved"), F.sum(F.when(~F.col("has"), F.col("r")).otherwise(0.0))).first()
+        step = rank.join(got, "u", "left").select("u", value.alias("r"), "has", F.abs(value - F.col("r")).alias("moved"))
+        new, seen = materialize_with(step, moved=F.sum("moved"), lost=F.sum(F.when(~F.col("has"), F.col("r")).otherwise(0.0)))
+        lost = seen["lost"]
         discard(rank)
         rank = new
-        if moved < tol * n:
+        if seen["moved"] < tol * n:
             break
     return v.join(rank, "u").select("id", F.col("r").alias("rank"))
 
@@ -185,8 +186,8 @@ def communities(members: DataFrame, links: DataFrame, passes: int = 4, rounds: i
             best = option.groupBy("x").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (-F.col("cy")).alias("o"))).alias("b"), F.max(F.when(stays, F.round(gain, 9))).alias("now"))
             stay = F.coalesce("now", F.round(-F.col("k") * (F.col("own_s") - F.col("k")) / total, 9))
             moves = own.join(best, "x", "left").select("x", "c", F.when((F.col("b.g") > stay + 1e-9) & (F.pmod(F.xxhash64("x", F.lit(r)), F.lit(2)) == 0), -F.col("b.o")).alias("to"))
-            new = materialize(moves.select("x", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
-            moved = new.where("moved").count()
+            new, seen = materialize_with(moves.select("x", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")), moved=F.count(F.when(F.col("moved"), 1)))
+            moved = seen["moved"]
             com = new.select("x", "c")
             changed |= moved > 0
             if not moved and r:

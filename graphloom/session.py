@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\r\x0b\x0c\xa0"
@@ -70,6 +70,13 @@ def materialize(df: DataFrame, cut: int | None = None) -> DataFrame:
     return out
 
 
+def materialize_with(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """materialize() and aggregates over the rows, observed while they are written, so that a loop needs no second job to see its end."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]))
+    return out, seen.get
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that materialize() wrote and no later plan reads."""
     path = getattr(df, "_graphloom_path", None)
