@@ -101,20 +101,20 @@ def mix(counted: DataFrame, targets: DataFrame, block: int = 4096) -> tuple[Data
 
     draws (doc_id, source, repeat_no, n_tokens, slot, position): one row for each time a record is drawn; sorting by slot, source and
     position gives the mixed order. Every source runs through its records in an order scattered by their ids, whole passes first; of the
-    last pass those records are drawn whose middle lies before the end of what is needed. A record longer than a block starts in its block
-    and stays whole. Records of sources without a target are not drawn. shares has a row for each target source: tokens there are, drawn,
+    last pass those records are drawn whose middle lies before the end of what is needed. A record longer than a block stays whole; such
+    records come last in a pass, so that one of them in its midst does not push the others out of reach. Records of sources without a target are not drawn. shares has a row for each target source: tokens there are, drawn,
     target and actual share, largest repeat. Repeated rows of a record are records of their own; an empty table draws nothing.
     Per-source positions are prefix sums in two steps over BUCKETS hash ranges, so a source holding most rows is no single task's work."""
     goals = [(r[0], r[1], r[2]) for r in targets.select(source_name("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).where("source is not null").limit(MAX_SOURCES + 1).collect()]
     if len(goals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} target sources")
     order = F.xxhash64("doc_id")
-    rows = materialize(counted.where(F.col("source").isin([g[0] for g in goals])).withColumn("bucket", F.shiftrightunsigned(order, 52).cast("int")))
+    rows = materialize(counted.where(F.col("source").isin([g[0] for g in goals])).withColumn("bucket", F.shiftrightunsigned(order, 52).cast("int") + F.when(F.col("n_tokens") > block, BUCKETS).otherwise(0)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("held"))
     sizes = {r[0]: r[1] for r in sums.groupBy("source").agg(F.sum("held")).collect()}
     plans, period = make_plan(sizes, goals)
     base = F.sum("held").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select("source", "bucket", F.coalesce(base, F.lit(0)).alias("base"))  # at most BUCKETS rows for each source
+    offsets = sums.select("source", "bucket", F.coalesce(base, F.lit(0)).alias("base"))  # at most 2 * BUCKETS rows for each source
     inside = Window.partitionBy("source", "bucket").orderBy(order, "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(offsets, ["source", "bucket"])
     spark = counted.sparkSession
