@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,8 +60,8 @@ def graph_pagerank(g: Graph, rounds: int = 100, tol: float = 1e-6) -> DataFrame:
 MAX_LINKS = 5_000_000
 
 
-def betweenness(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, betweenness), exact, directed, unweighted, over (n-1)(n-2). Sources are spread over the tasks, each of which walks the whole
+def betweenness(vertices: DataFrame, links: DataFrame, pivots: int | None = None) -> DataFrame:
+    """(id, betweenness), directed, unweighted, over (n-1)(n-2); exact, or estimated from so many pivots as sources (a fixed sample). Sources are spread over the tasks, each of which walks the whole
     graph from its sources; the links therefore travel to every task and more than MAX_LINKS of them are an error (a bound on memory and,
     as the work is vertices times links, on time)."""
     v = materialize(vertices.select("id").distinct().sort("id"))
@@ -85,9 +86,11 @@ def betweenness(vertices: DataFrame, links: DataFrame) -> DataFrame:
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"u": hit, "b": total[hit]})
 
-    parts = spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, "u long, b double")
-    sums = parts.groupBy("u").agg(F.sum("b").alias("b"))
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    some = random.Random(7).sample(range(n), pivots) if pivots and pivots < n else range(n)
+    slices = max(1, min(len(some), 4 * spark.sparkContext.defaultParallelism))
+    sources = spark.createDataFrame([(x,) for x in some], "id long").repartition(slices) if len(some) < n else spark.range(0, n, 1, slices)
+    sums = sources.mapInPandas(run, "u long, b double").groupBy("u").agg(F.sum("b").alias("b"))
+    scale = (n / max(1, len(some))) / ((n - 1) * (n - 2)) if n > 2 else 1.0
     ids = v.withColumn("u", F.row_number().over(Window.orderBy("id")) - 1)
     return ids.join(sums, "u", "left").select("id", F.round(F.coalesce("b", F.lit(0.0)) * scale, 10).alias("betweenness"))
 
@@ -115,16 +118,18 @@ def _dependencies(off: np.ndarray, nxt: np.ndarray, n: int, s: int) -> np.ndarra
     return delta
 
 
-def importance(g: Graph, rounds: int = 100, tol: float = 1e-6, exact_up_to: int = 2000) -> DataFrame:
+def importance(g: Graph, rounds: int = 100, tol: float = 1e-6, exact_up_to: int = 2000, pivots: int = 500) -> DataFrame:
     """(id, pagerank, betweenness, centrality, score, ord): half the normalised PageRank, three tenths betweenness, two tenths in-degree
-    centrality. Graphs of fewer than three nodes get equal scores; betweenness is 0 for graphs of more than exact_up_to nodes, where its
-    cost would grow with the square."""
+    centrality. Graphs of fewer than three nodes get equal scores; betweenness is estimated from
+    `pivots` sources for graphs of more than exact_up_to nodes, where its cost would grow with the square, and 0 beyond MAX_LINKS links."""
     n = g.nodes.count()
     if n < 3:
         return g.nodes.select("id", *[F.lit(1.0 / max(1, n)).alias(c) for c in ("pagerank", "betweenness", "centrality", "score")], "ord")
     pr = graph_pagerank(g, rounds, tol)
     dc = simple_degrees(g).select("id", "centrality")
-    bw = betweenness(g.nodes, g.simple()) if n <= exact_up_to else g.nodes.select("id", F.lit(0.0).alias("betweenness"))
+    links = materialize(g.simple())
+    fits = links.limit(MAX_LINKS + 1).count() <= MAX_LINKS and n <= MAX_LINKS
+    bw = betweenness(g.nodes, links, None if n <= exact_up_to else pivots) if fits else g.nodes.select("id", F.lit(0.0).alias("betweenness"))
     x = materialize(g.nodes.select("id", "ord").join(pr, "id").join(dc, "id", "left").join(bw, "id", "left"))
     most = x.agg(*[F.max(c).alias(f"m_{c}") for c in ("rank", "betweenness", "centrality")])
     part = lambda c: F.when(F.col(f"m_{c}") > 0, F.coalesce(F.col(c), F.lit(0.0)) / F.col(f"m_{c}")).otherwise(F.lit(0.0))

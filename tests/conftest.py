@@ -30,7 +30,3 @@ def tables(spark, tmp_path):
         return str(tmp_path)
 
     return write
-
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -39,3 +39,7 @@ def same(spark, con, folder, query, sql):
     at = [names.index(c) for c in cols]
     want = Counter(canon(tuple(x[i] for i in at)) for x in r.fetchall())
     assert got == want, (list((got - want).items())[:3], list((want - got).items())[:3])
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
