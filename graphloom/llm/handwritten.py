@@ -143,9 +143,9 @@ def train(table: DataFrame, trees: int = 40, depth: int = 8, seed: int = 7):
     if sample.select("label").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(featuresCol="v", numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2, featureSubsetStrategy="onethird")
-    first = forest.fit(sample)
+    first = forest.fit(sample).copy()  # a copy has no training summary, which would take the session along to the executors
     sure = first.transform(sample).where((F.col("label") == 1) | (vector_to_array("probability")[1] < DOUBT)).select("key", "v", "label")
-    return forest.fit(materialize(sure.coalesce(1)))
+    return forest.fit(materialize(sure.coalesce(1))).copy()
 
 
 def verdicts(files: DataFrame, key: str, path: str, text: str, threshold: float = 0.5) -> DataFrame:

@@ -147,6 +147,9 @@ def test_handwritten(spark, tables):
     files += [(300 + i, "p", f"v{i}.py", ("# SPDX-License-Identifier: MIT\n" if i % 3 == 0 else "# kept\n") + lib[i // 3], "", "") for i in range(30)]
     files += [(400, "p", "data.py", "X = [" + ", ".join(map(str, range(900))) + "]", "", ""), (401, "p", "e.py", "", "", ""), (402, "p", None, None, "", ""), (403, "p", "t.py", "# the exporter writes DO NOT EDIT headers\n" + written(rng, 7), "", ""), (404, "p", "c.py", "# just words\n", "", "")]
     d = tables(source_files=(files, FILES))
+    from graphloom.session import materialize_with
+
+    assert materialize_with(spark.range(3), n=F.count(F.lit(1)))[1] == {"n": 3}  # a session that has observed something is not serialisable
     found = {r.file_id for r in q.p4_found(spark, d).collect()}
     truth = {f[0] for f in files if 200 <= f[0] < 401}
     assert len(found & truth) >= 0.97 * len(truth) and len(found - truth) <= 3
