@@ -14,6 +14,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -37,10 +38,12 @@ NOTICES = {
 }
 _NOTICE = {k: re.compile("|".join(f"(?:{p})" for p in v), re.I) for k, v in NOTICES.items()}
 _MARK = re.compile(r"^\s*(?:#+|//+|/\*+!?|\*+(?!/))\s*(.*?)\s*(?:\*+/)?\s*$")
+_COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|\Z)")
 _LEXEMES = {
     "hash": re.compile(r'(?P<text>"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\')|(?P<note>#[^\n]*)', re.S),
     "slash": re.compile(r'(?P<text>"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`)|(?P<note>//[^\n]*|/\*.*?(?:\*/|\Z))', re.S),
 }
+HASHES, SLASHES = (".py", ".sh", ".rb", ".yaml", ".yml"), (".js", ".jsx", ".ts", ".tsx", ".mjs", ".go", ".java")
 _TOKEN = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`|[^\W\d][\w$]*|\$[\w$]*|\d[\w.]*|[^\w\s]')
 _VERSION = re.compile(r"[\"'][A-Za-z][\w.-]* v?\d+\.\d+\.\d+[\"']")
 FEATURES = ["size", "lines", "longest_line", "mean_line", "blank_share", "compression", "entropy", "name_length", "short_names", "distinct_names", "comment_share", "digit_share", "literal_share", "number_share", "punctuation_share", "shape_share", "indent_share", "version_name", "copies"]
@@ -49,9 +52,22 @@ FEATURES = ["size", "lines", "longest_line", "mean_line", "blank_share", "compre
 _HEAD = {True: re.compile(r"(?:\s*#[^\n]*(?:\n|\Z))*"), False: re.compile(r"(?:\s*(?://[^\n]*(?:\n|\Z)|/\*.*?(?:\*/|\Z)))*", re.S)}
 
 
-def notice(text: str, lines: int = 80) -> str | None:
-    """The kind of notice a file carries in one of its first comment lines, if any."""
-    for line in text[:20_000].split("\n", lines)[:lines]:
+def comments(text: str, hashes: bool) -> list[tuple[int, int]]:
+    """(start, end) of each comment."""
+    return [m.span() for m in _LEXEMES["hash" if hashes else "slash"].finditer(text) if m.lastgroup == "note"]
+
+
+def notice(text: str, notes: list[tuple[int, int]] | None = None) -> str | None:
+    """The kind of the first notice a file carries in its comment lines, if any, wherever in the file they stand: generators write
+    footers too. Lines at its start and end that are comments in some language count whatever notes, its comments, are; without notes
+    all lines do, even those within longer strings."""
+    if notes is None:
+        lines = text.split("\n")
+    else:
+        whole = [text[a:b] for a, b in notes if not text[text.rfind("\n", 0, a) + 1 : a].strip()]
+        every = text.split("\n")
+        lines = [x for c in [*whole, *takewhile(_COMMENT.match, every), *takewhile(_COMMENT.match, reversed(every))] for x in c.split("\n")]
+    for line in lines:
         m = _MARK.match(line)
         if m and m[1]:
             for kind, p in _NOTICE.items():
@@ -60,18 +76,26 @@ def notice(text: str, lines: int = 80) -> str | None:
     return None
 
 
-def strip_comments(text: str, hashes: bool) -> str:
-    return _LEXEMES["hash" if hashes else "slash"].sub(lambda m: "" if m.lastgroup == "note" else m.group(), text)
+def between(text: str, hashes: bool, notes: list[tuple[int, int]]) -> tuple[str, str]:
+    """text without the comments it begins and ends with, and that without its other comments."""
+    first, last, inner = _HEAD[hashes].match(text).end(), len(text), list(notes)
+    while inner and inner[-1][0] >= first and not text[inner[-1][1] : last].strip():
+        last = inner.pop()[0]
+    parts, at = [], first
+    for start, end in inner:
+        if start >= first:
+            parts.append(text[at:start])
+            at = end
+    return text[first:last], "".join([*parts, text[at:last]])
 
 
 def body_digest(body: str) -> bytes:
     return hashlib.md5("".join(body.split()).encode("utf-8", "surrogatepass")).digest()
 
 
-def describe(text: str, hashes: bool) -> tuple[list[float], bytes, int]:
+def describe(text: str, hashes: bool, notes: list[tuple[int, int]]) -> tuple[list[float], bytes, int]:
     """(features but copies, digest of the body, size of the body) of a whole file."""
-    text = text[_HEAD[hashes].match(text).end() :]  # the comments a file begins with may be notices
-    body = strip_comments(text, hashes)
+    text, body = between(text, hashes, notes)  # the comments a file begins and ends with may be notices
     solid = len(body) - body.count(" ") - body.count("\n") - body.count("\t") - body.count("\r")
     lines = [x for x in body.split("\n") if x.strip()]
     tokens = _TOKEN.findall(body)
@@ -103,8 +127,10 @@ def describe_files(files: DataFrame, key: str, path: str, text: str) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [describe(t, p.lower().endswith((".py", ".sh", ".rb", ".yaml", ".yml"))) for p, t in zip(b["path"], b["text"])]
-            yield pd.DataFrame({"key": b["key"], "kind": [notice(t) for t in b["text"]], "f": [g[0] for g in got], "digest": [g[1] for g in got], "solid": [g[2] for g in got]})
+            hashes = [p.lower().endswith(HASHES) for p in b["path"]]
+            notes = [comments(t, h) for t, h in zip(b["text"], hashes)]
+            got = [describe(t, h, n) for t, h, n in zip(b["text"], hashes, notes)]
+            yield pd.DataFrame({"key": b["key"], "kind": [notice(t, n if p.lower().endswith(HASHES + SLASHES) else None) for p, t, n in zip(b["path"], b["text"], notes)], "f": [g[0] for g in got], "digest": [g[1] for g in got], "solid": [g[2] for g in got]})
 
     return rows.mapInPandas(run, rows.select("key").schema.add("kind", "string").add("f", T.ArrayType(T.DoubleType())).add("digest", "binary").add("solid", "integer"))
 
@@ -151,7 +177,7 @@ def train(table: DataFrame, trees: int = 40, depth: int = 8, seed: int = 7):
 def verdicts(files: DataFrame, key: str, path: str, text: str, threshold: float = 0.5) -> DataFrame:
     """(key, verdict, probability, notice): one row per file; verdict is handwritten, generated, minified, vendored or data.
 
-    A file is not handwritten if the forest's probability reaches the threshold, or by the exact checks after it: it carries a notice, it
+    Notices and comments are read over the whole text, however long. A file is not handwritten if the forest's probability reaches the threshold, or by the exact checks after it: it carries a notice, it
     is a copy of a file that does, or is data by is_data. The kind is the notice's, or follows what is plain: data, copies, long lines, else
     generated. Null and empty texts, stubs and comments alone are handwritten unless a notice says otherwise; a null path counts as code
     with slash comments; equal files get equal verdicts."""
