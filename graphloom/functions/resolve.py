@@ -70,10 +70,16 @@ def project_of(files: DataFrame, projects: DataFrame) -> DataFrame:
     return files.select("path").join(best, "path", "left")
 
 
-def shared_tag_pairs(items: DataFrame, key: str, tags: str, most: int = 1000) -> DataFrame:
-    """(a, b, shared): pairs of items with a tag in common in any case. A tag of more than `most` items says nothing about two of them and
-    makes no pairs; that bound belongs to the meaning of the operator and is its argument."""
+def shared_tag_members(items: DataFrame, key: str, tags: str) -> DataFrame:
+    """(tag, key, n_items): the items of every tag that at least two hold, in any case. Two items share a tag if both stand under it, so
+    this says all that pairs say in a row for each item and tag, whatever the number of items of a tag."""
+    t = items.select(key, F.explode(F.array_distinct(F.transform(tags, lambda x: F.lower(x)))).alias("tag")).where("tag is not null").distinct()
+    return t.join(t.groupBy("tag").agg(F.count(F.lit(1)).alias("n_items")).where("n_items > 1"), "tag").select("tag", key, "n_items")
+
+
+def shared_tag_pairs(items: DataFrame, key: str, tags: str) -> DataFrame:
+    """(a, b, shared): all pairs of items with a tag in common in any case. Their number grows with the square of a tag's items;
+    shared_tag_members() has the same in linear size."""
     t = items.select(key, F.explode(F.array_distinct(F.transform(tags, lambda x: F.lower(x)))).alias("tag"))
-    t = t.join(t.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("tag"), "tag", "left_semi")
     x, y = t.select(F.col(key).alias("a"), "tag"), t.select(F.col(key).alias("b"), "tag")
     return x.join(y, "tag").where("a < b").groupBy("a", "b").agg(F.sort_array(F.collect_set("tag")).alias("shared"))

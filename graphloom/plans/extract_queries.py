@@ -209,6 +209,12 @@ def shared_tag_pairs(spark: SparkSession, d: str) -> DataFrame:
     return resolve.shared_tag_pairs(n, "id", "tags")
 
 
+@query(", t AS (SELECT DISTINCT id, lower(unnest(tags)) AS tag FROM n), u AS (SELECT tag, count(*) AS n_items FROM t WHERE tag IS NOT NULL GROUP BY tag HAVING count(*) > 1) SELECT tag, id, n_items FROM t JOIN u USING (tag)")
+def shared_tags(spark: SparkSession, d: str) -> DataFrame:
+    """All tagged nodes."""
+    return resolve.shared_tag_members(Graph.load(spark, d).nodes, "id", "tags")
+
+
 def queries() -> dict:
     return R.queries
 

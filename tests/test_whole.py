@@ -1,7 +1,17 @@
 """Operators do the whole job: results that no bound cuts off."""
 
+import random
+from collections import defaultdict
+
+import numpy as np
+from graphloom.functions import resolve
+from graphloom.graph import Graph
 from graphloom.llm import handwritten
 from graphloom.llm import queries as llm
+from graphloom.operators import rank, search, traverse
+from graphloom.plans import graph_checks, rank_queries, traversal_queries
+from graphloom.plans.store_queries import HUB
+from pyspark.sql import functions as F
 
 FILES = "file_id long, project_id string, file_path string, text string, language string, source_hash string"
 
@@ -19,3 +29,18 @@ def test_notices_in_footers(spark, tables):
     files = [(1, "p", "a.py", foot, "", ""), (2, "p", "b.py", code, "", "")]
     got = {r.file_id: (r.verdict, r.notice) for r in llm.p4_verdicts(spark, tables(source_files=(files, FILES))).collect()}
     assert got[1] == ("generated", "generated") and got[2][0] == "vendored"
+
+
+def graph(spark, edges, kind="IMPORTS", more=()):
+    """A graph of edges (source, target) between functions, in the order given."""
+    ids = sorted({x for e in edges for x in e} | set(more))
+    nodes = spark.createDataFrame([(x, "Function", None, i) for i, x in enumerate(ids)], "id string, type string, parent_id string, ord long")
+    rows = [(a, b, kind, 1.0, i) for i, (a, b) in enumerate(edges)]
+    return Graph(nodes, spark.createDataFrame(rows, "source_id string, target_id string, type string, weight double, ord long"))
+
+
+def test_shared_tags_have_no_bound(spark):
+    items = spark.createDataFrame([(i, ["Hot", "hot"] if i else ["hot", "x", None]) for i in range(1100)] + [(2000, None), (2001, ["y"])], "id long, tags array<string>")
+    assert resolve.shared_tag_pairs(items, "id", "tags").count() == 1100 * 1099 // 2
+    got = resolve.shared_tag_members(items, "id", "tags").collect()
+    assert {(r.tag, r.id, r.n_items) for r in got} == {("hot", i, 1100) for i in range(1100)} and len(got) == 1100
