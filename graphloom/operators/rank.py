@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
@@ -57,25 +57,36 @@ def graph_pagerank(g: Graph, rounds: int = 100, tol: float = 1e-6) -> DataFrame:
     return pagerank(every, s, rounds=rounds, tol=tol).join(g.nodes.select("id"), "id", "left_semi")
 
 
-MAX_LINKS = 5_000_000
+#: Sources are walked from in written batches, so that a lost executor costs no more than a batch.
+BATCH = 16_384
+
+
+def dense_codes(vertices: DataFrame) -> tuple[DataFrame, int]:
+    """((id, u), n): the ids numbered from 0 to n-1 in their order."""
+    v = materialize(vertices.select("id").distinct().sort("id").withColumn("m", F.monotonically_increasing_id()))
+    part = F.shiftright("m", 33)
+    sizes = sorted((r.p, r.n) for r in v.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    bases, n = {}, 0
+    for p, size in sizes:
+        bases[p], n = n - (p << 33), n + size
+    if not n:
+        return v.select("id", F.col("m").alias("u")), 0
+    base = F.create_map(*[F.lit(x) for kv in bases.items() for x in kv])
+    return v.select("id", (F.col("m") + F.element_at(base, part)).cast("long").alias("u")), n
 
 
 def betweenness(vertices: DataFrame, links: DataFrame, pivots: int | None = None) -> DataFrame:
-    """(id, betweenness), directed, unweighted, over (n-1)(n-2); exact, or estimated from so many pivots as sources (a fixed sample). Sources are spread over the tasks, each of which walks the whole
-    graph from its sources; the links therefore travel to every task and more than MAX_LINKS of them are an error (a bound on memory and,
-    as the work is vertices times links, on time)."""
-    v = materialize(vertices.select("id").distinct().sort("id"))
-    names = sorted(r.id for r in v.limit(MAX_LINKS + 1).toLocalIterator())
-    pairs = [(r[0], r[1]) for r in links.select("source_id", "target_id").distinct().limit(MAX_LINKS + 1).toLocalIterator()]
-    if max(len(names), len(pairs)) > MAX_LINKS:
-        raise ValueError(f"more than {MAX_LINKS} vertices or links")
-    code = {x: i for i, x in enumerate(names)}
-    n = len(names)
-    ends = np.array([(code[a], code[b]) for a, b in pairs if a in code and b in code and a != b], np.int64).reshape(-1, 2)
-    ends = ends[np.argsort(ends[:, 0], kind="stable")]
-    offsets = np.searchsorted(ends[:, 0], np.arange(n + 1))
+    """(id, betweenness), directed, unweighted, over (n-1)(n-2); exact, or, only if asked for, estimated from so many pivots as sources (a
+    fixed sample). Sources are spread over the tasks, each of which walks the whole graph from its sources: the work is vertices times
+    links, and the links travel to every task, eight bytes a link."""
+    ids, n = dense_codes(vertices)
+    s, t = ids.select(F.col("id").alias("source_id"), F.col("u").alias("a")), ids.select(F.col("id").alias("target_id"), F.col("u").alias("b"))
+    pairs = links.select("source_id", "target_id").where("source_id <> target_id").distinct().join(s, "source_id").join(t, "target_id").select("a", "b").toArrow()
+    a, b = (pairs.column(c).to_numpy() for c in ("a", "b"))
+    order = np.argsort(a, kind="stable")
+    offsets = np.searchsorted(a[order], np.arange(n + 1))
     spark = vertices.sparkSession
-    shared = spark.sparkContext.broadcast((offsets, ends[:, 1], n))
+    shared = spark.sparkContext.broadcast((offsets, b[order], n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         off, nxt, size = shared.value
@@ -87,12 +98,19 @@ def betweenness(vertices: DataFrame, links: DataFrame, pivots: int | None = None
         yield pd.DataFrame({"u": hit, "b": total[hit]})
 
     some = random.Random(7).sample(range(n), pivots) if pivots and pivots < n else range(n)
-    slices = max(1, min(len(some), 4 * spark.sparkContext.defaultParallelism))
-    sources = spark.createDataFrame([(x,) for x in some], "id long").repartition(slices) if len(some) < n else spark.range(0, n, 1, slices)
-    sums = sources.mapInPandas(run, "u long, b double").groupBy("u").agg(F.sum("b").alias("b"))
+    sums = None
+    for first in range(0, len(some), BATCH):
+        batch = some[first : first + BATCH]
+        slices = min(len(batch), 4 * spark.sparkContext.defaultParallelism)
+        sources = spark.range(batch[0], batch[-1] + 1, 1, slices) if isinstance(batch, range) else spark.createDataFrame([(x,) for x in batch], "id long").repartition(slices)
+        one = sources.mapInPandas(run, "u long, b double").groupBy("u").agg(F.sum("b").alias("b"))
+        one = materialize(one)
+        sums = one if sums is None else sums.unionByName(one)
+    if sums is None:
+        return ids.select("id", F.lit(0.0).alias("betweenness"))
     scale = (n / max(1, len(some))) / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    ids = v.withColumn("u", F.row_number().over(Window.orderBy("id")) - 1)
-    return ids.join(sums, "u", "left").select("id", F.round(F.coalesce("b", F.lit(0.0)) * scale, 10).alias("betweenness"))
+    total = sums.groupBy("u").agg(F.sum("b").alias("b"))
+    return ids.join(total, "u", "left").select("id", F.round(F.coalesce("b", F.lit(0.0)) * scale, 10).alias("betweenness"))
 
 
 def _dependencies(off: np.ndarray, nxt: np.ndarray, n: int, s: int) -> np.ndarray:
@@ -118,18 +136,16 @@ def _dependencies(off: np.ndarray, nxt: np.ndarray, n: int, s: int) -> np.ndarra
     return delta
 
 
-def importance(g: Graph, rounds: int = 100, tol: float = 1e-6, exact_up_to: int = 2000, pivots: int = 500) -> DataFrame:
+def importance(g: Graph, rounds: int = 100, tol: float = 1e-6) -> DataFrame:
     """(id, pagerank, betweenness, centrality, score, ord): half the normalised PageRank, three tenths betweenness, two tenths in-degree
-    centrality. Graphs of fewer than three nodes get equal scores; betweenness is estimated from
-    `pivots` sources for graphs of more than exact_up_to nodes, where its cost would grow with the square, and 0 beyond MAX_LINKS links."""
+    centrality. Graphs of fewer than three nodes get equal scores; betweenness is exact at every size, so its cost grows with the square."""
     n = g.nodes.count()
     if n < 3:
         return g.nodes.select("id", *[F.lit(1.0 / max(1, n)).alias(c) for c in ("pagerank", "betweenness", "centrality", "score")], "ord")
     pr = graph_pagerank(g, rounds, tol)
     dc = simple_degrees(g).select("id", "centrality")
     links = materialize(g.simple())
-    fits = links.limit(MAX_LINKS + 1).count() <= MAX_LINKS and n <= MAX_LINKS
-    bw = betweenness(g.nodes, links, None if n <= exact_up_to else pivots) if fits else g.nodes.select("id", F.lit(0.0).alias("betweenness"))
+    bw = betweenness(g.nodes, links)
     x = materialize(g.nodes.select("id", "ord").join(pr, "id").join(dc, "id", "left").join(bw, "id", "left"))
     most = x.agg(*[F.max(c).alias(f"m_{c}") for c in ("rank", "betweenness", "centrality")])
     part = lambda c: F.when(F.col(f"m_{c}") > 0, F.coalesce(F.col(c), F.lit(0.0)) / F.col(f"m_{c}")).otherwise(F.lit(0.0))

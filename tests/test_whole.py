@@ -39,6 +39,46 @@ def graph(spark, edges, kind="IMPORTS", more=()):
     return Graph(nodes, spark.createDataFrame(rows, "source_id string, target_id string, type string, weight double, ord long"))
 
 
+def brute_betweenness(edges):
+    out, total = defaultdict(set), defaultdict(float)
+    for a, b in edges:
+        out[a].add(b)
+    ids = {x for e in edges for x in e}
+    for s in ids:
+        dist, ways, order, front = {s: 0}, defaultdict(int, {s: 1}), [], [s]
+        while front:
+            order += front
+            new = []
+            for v in front:
+                for w in out[v]:
+                    if w not in dist:
+                        dist[w] = dist[v] + 1
+                        new.append(w)
+                    if dist[w] == dist[v] + 1:
+                        ways[w] += ways[v]
+            front = new
+        part = defaultdict(float)
+        for w in reversed(order):
+            for v in order:
+                if w in out[v] and dist[w] == dist[v] + 1:
+                    part[v] += ways[v] / ways[w] * (1 + part[w])
+            if w != s:
+                total[w] += part[w]
+    n = len(ids)
+    return {x: total[x] / ((n - 1) * (n - 2)) for x in ids}
+
+
+def test_betweenness_is_exact_at_any_size(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(f"n{10 * k + i}", f"n{10 * k + rng.randrange(10)}") for k in range(220) for i in range(10) for _ in range(2)]
+    edges = sorted({e for e in edges if e[0] != e[1]})
+    want = brute_betweenness(edges)
+    assert len(want) > 2000
+    monkeypatch.setattr(rank, "BATCH", 800)
+    got = {r.id: r.betweenness for r in rank.importance(graph(spark, edges), rounds=2).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
 def test_shared_tags_have_no_bound(spark):
     items = spark.createDataFrame([(i, ["Hot", "hot"] if i else ["hot", "x", None]) for i in range(1100)] + [(2000, None), (2001, ["y"])], "id long, tags array<string>")
     assert resolve.shared_tag_pairs(items, "id", "tags").count() == 1100 * 1099 // 2
