@@ -6,6 +6,8 @@ level's work is its own edges. The frontier is broadcast only if Spark finds it
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def subgraph(g: Graph, ids: DataFrame, max_depth: int = 2) -> Graph:
     return Graph(g.nodes.join(near, "id", "left_semi"), g.induced(near))
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 50) -> list[str]:
+def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | None = None) -> list[str]:
     """A shortest directed path, [] if there is none; of several the one whose ids sort first from the source on. The distances to the
     target are found level by level; only the path itself comes to the driver, an id a level."""
     spark = edges.sparkSession
@@ -56,12 +58,13 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 5
     step = edges.select("source_id", "target_id").distinct()
     front = seen = materialize(spark.createDataFrame([(target, 0)], "id string, depth int"))
     found = False
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         new = step.join(front.select(F.col("id").alias("target_id")), "target_id").select(F.col("source_id").alias("id")).distinct()
         front = materialize(new.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return []
         seen = seen.unionByName(front)
+        seen = seen if depth % 16 else materialize(seen)
         if not front.where(F.col("id") == source).isEmpty():
             found = True
             break

@@ -60,8 +60,9 @@ def _far(g: Graph) -> tuple[str, str]:
 
 @query(f", r(id, depth) AS (SELECT min(id), 0 FROM n WHERE type = 'Workspace' UNION SELECT e.target_id, depth + 1 FROM r JOIN e ON e.source_id = r.id WHERE depth < 8 AND r.id <> '{HUB}') SELECT coalesce(min(depth), -1) AS length FROM r WHERE id = '{HUB}'", recursive=True)
 def shortest_path_len(spark: SparkSession, d: str) -> DataFrame:
+    """Of any length; its SQL ends at 8 edges and gives -1 beyond."""
     g = Graph.load(spark, d)
-    path = traverse.shortest_path(g.edges, *_far(g), max_depth=8)
+    path = traverse.shortest_path(g.edges, *_far(g))
     return spark.createDataFrame([(len(path) - 1,)], "length int")
 
 
@@ -108,10 +109,18 @@ def propagate_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f", r(entry, id, depth) AS (SELECT id, id, 0 FROM n WHERE type = 'Endpoint' UNION SELECT r.entry, e.target_id, depth + 1 FROM r JOIN e ON e.source_id = r.id AND e.type = 'CALLS' JOIN n ON n.id = e.target_id AND n.type IN ({_X}) WHERE depth < 3) SELECT entry, count(DISTINCT id) AS n_steps FROM r GROUP BY entry", recursive=True)
 def trace_flow(spark: SparkSession, d: str) -> DataFrame:
+    """Three levels deep, as far as its SQL goes; trace_flow_full has the whole flows."""
     g = Graph.load(spark, d)
     return traverse.trace_flow(g, g.nodes.where("type = 'Endpoint'"), 3).groupBy("entry").agg(F.count(F.lit(1)).alias("n_steps"))
 
 
+@query()
+def trace_flow_full(spark: SparkSession, d: str) -> DataFrame:
+    """Flows to the operator's own depth, without SQL: unrolled to ten levels it holds every way to every node."""
+    g = Graph.load(spark, d)
+    return traverse.trace_flow(g, g.nodes.where("type = 'Endpoint'")).groupBy("entry").agg(F.count(F.lit(1)).alias("n_steps"))
+
+
 @query(", dn AS (SELECT source_id, target_id FROM e WHERE type = 'CONTAINS'), r(id, depth) AS (SELECT DISTINCT source_id, 0 FROM dn WHERE source_id NOT IN (SELECT target_id FROM dn) UNION SELECT dn.target_id, depth + 1 FROM r JOIN dn ON dn.source_id = r.id WHERE depth < 60), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id) SELECT coalesce(max(depth), 0) AS depth FROM m", recursive=True)
 def containment_depth(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(traverse.containment_depth(Graph.load(spark, d)),)], "depth int")

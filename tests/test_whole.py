@@ -84,3 +84,13 @@ def test_shared_tags_have_no_bound(spark):
     assert resolve.shared_tag_pairs(items, "id", "tags").count() == 1100 * 1099 // 2
     got = resolve.shared_tag_members(items, "id", "tags").collect()
     assert {(r.tag, r.id, r.n_items) for r in got} == {("hot", i, 1100) for i in range(1100)} and len(got) == 1100
+
+
+def test_long_ways(spark, tables, monkeypatch):
+    chain = [f"f{i:02}" for i in range(8)] + [HUB]
+    g = graph(spark, [("w", "f00"), *zip(chain, chain[1:])], "CALLS")
+    g.nodes = g.nodes.withColumn("type", F.expr("case id when 'w' then 'Workspace' when 'f00' then 'Endpoint' else type end"))
+    monkeypatch.setattr(Graph, "load", staticmethod(lambda spark, d: g))
+    assert traversal_queries.shortest_path_len(spark, "").first()[0] == 9
+    assert [tuple(r) for r in traversal_queries.trace_flow_full(spark, "").collect()] == [("f00", 9)]
+    assert traverse.shortest_path(g.edges, HUB, "w") == []
