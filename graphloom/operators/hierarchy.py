@@ -141,13 +141,14 @@ def hierarchy_table(forest: Forest) -> DataFrame:
     return all_levels.join(roots, "root_code").select("id", "depth", "root_id", "path", "lo", "hi", (F.col("hi") - F.col("lo")).alias("n_descendants"))
 
 
-def descendants(forest: Forest, of: DataFrame) -> DataFrame:
-    """(ancestor, id, distance): all nodes below the given ones (column id), by nested-set ranges. A row's preorder number is looked up
-    only in the blocks of numbers that an ancestor's range covers, so the join is an equality on blocks."""
+def descendants(forest: Forest, of: DataFrame | None = None) -> DataFrame:
+    """(ancestor, id, distance): all nodes below the given ones (column id), or below each node, by nested-set ranges. Preorder numbers are
+    dense, so a range is the list of its nodes' numbers, spelled out a block at a time, and the join an equality on numbers."""
     bits = 12
     ids = forest.names.select("code", "id")
-    at = forest.placed.where("lo is not null").join(ids, "code").select("id", "lo", "hi", "depth")
-    tops = at.join(of.select("id").distinct(), "id").select(F.col("id").alias("ancestor"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.col("depth").alias("adepth"))
-    tops = tops.where("ahi > alo").withColumn("block", F.explode(F.sequence(F.shiftright("alo", bits), F.shiftright("ahi", bits))))
-    rows = at.select("id", "lo", "depth", F.shiftright("lo", bits).alias("block"))
-    return tops.join(rows, "block").where("lo > alo and lo <= ahi").select("ancestor", "id", (F.col("depth") - F.col("adepth")).alias("distance"))
+    at = materialize(forest.placed.where("lo is not null").join(ids, "code").select("id", "lo", "hi", "depth"))
+    tops = (at if of is None else at.join(of.select("id").distinct(), "id")).select(F.col("id").alias("ancestor"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.col("depth").alias("adepth"))
+    tops = tops.where("ahi > alo").withColumn("block", F.explode(F.sequence(F.shiftright(F.col("alo") + 1, bits), F.shiftright("ahi", bits))))
+    first, last = F.greatest(F.col("alo") + 1, F.shiftleft("block", bits)), F.least("ahi", F.shiftleft(F.col("block") + 1, bits) - 1)
+    below = tops.select("ancestor", "adepth", F.explode(F.sequence(first, last)).alias("lo"))
+    return below.join(at.select("id", "lo", "depth"), "lo").select("ancestor", "id", (F.col("depth") - F.col("adepth")).alias("distance"))

@@ -35,6 +35,11 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(forest(spark, d), tops)
 
 
+def p6_descendants_all(spark: SparkSession, d: str) -> DataFrame:
+    """The descendants of each node that reaches a root."""
+    return hierarchy.descendants(forest(spark, d))
+
+
 def _fields() -> list[Column]:
     digest = F.btrim(F.regexp_replace(plain("source_hash"), "^sha256:", ""), F.lit(BLANKS))
     return [*(plain(c) for c in ("type", "name", "parent_id", "language")), digest]
@@ -53,7 +58,7 @@ def p7_run_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p6_found, p6_hierarchy, p6_descendants, p7_found, p7_run_check)}
+    return {f.__name__: f for f in (p1_found, p1_report, p6_found, p6_hierarchy, p6_descendants, p6_descendants_all, p7_found, p7_run_check)}
 
 
 TRIM = "lower(trim({0}, ' \t\n\r\x0b\x0c\xa0'))"
@@ -92,6 +97,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": f"WITH RECURSIVE {_WALK} SELECT id, cycle_id FROM hung",
         "p6_hierarchy": f"WITH RECURSIVE {_TREE} SELECT id, depth, root_id, path, lo, lo + n - 1 AS hi, n - 1 AS n_descendants FROM numbered",
         "p6_descendants": f"WITH RECURSIVE {_TREE} SELECT u.a AS ancestor, t.id, t.depth - s.depth AS distance FROM tree t, unnest(t.line) AS u(a) JOIN tree s ON s.id = u.a JOIN graph_nodes g ON g.id = u.a WHERE g.type IN ('Project', 'Workspace') AND t.id <> u.a",
+        "p6_descendants_all": f"WITH RECURSIVE {_TREE} SELECT u.a AS ancestor, t.id, t.depth - s.depth AS distance FROM tree t, unnest(t.line) AS u(a) JOIN tree s ON s.id = u.a WHERE t.id <> u.a",
         "p7_found": f"WITH {_CHANGES} SELECT snapshot_no, id, change FROM changes",
         "p7_run_check": f"""WITH {_CHANGES},
 found AS (SELECT split_part(id, ':', 2) AS project, snapshot_no, count(*) FILTER (WHERE change = 'added') AS a, count(*) FILTER (WHERE change = 'changed') AS c, count(*) FILTER (WHERE change = 'removed') AS r FROM changes GROUP BY ALL),

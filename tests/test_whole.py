@@ -94,3 +94,19 @@ def test_long_ways(spark, tables, monkeypatch):
     assert traversal_queries.shortest_path_len(spark, "").first()[0] == 9
     assert [tuple(r) for r in traversal_queries.trace_flow_full(spark, "").collect()] == [("f00", 9)]
     assert traverse.shortest_path(g.edges, HUB, "w") == []
+
+
+def test_descendants_of_all_nodes(spark, tables):
+    rng = random.Random(2)
+    parent = {f"n{k:04}": f"n{rng.randrange(k):04}" if k else None for k in range(5000)}
+    parent["c"], parent["d"] = "c", "c"
+    kinds = "id string, parent_id string, name string, type string"
+    d = tables(graph_nodes=([(k, p, k, "Module") for k, p in parent.items()], kinds))
+    want = set()
+    for i in parent:
+        up, n = parent[i], 1
+        while up and i not in "cd":
+            want.add((up, i, n))
+            up, n = parent[up], n + 1
+    got = [tuple(r) for r in graph_checks.p6_descendants_all(spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want
