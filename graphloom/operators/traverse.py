@@ -6,8 +6,10 @@ level's work is its own edges. The frontier is broadcast only if Spark finds it
 
 from __future__ import annotations
 
+from collections import defaultdict
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,21 +166,105 @@ def containment_depth(g: Graph, limit: int = 200) -> int:
     return reach(down, roots, limit).agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
 
 
-def import_cycles(g: Graph, longest: int = 6, enough: int = 5) -> int:
-    """The number of simple cycles of IMPORTS up to a length, counted only as far as `enough`, where the penalty they bring is full.
-    A cycle is walked once, from its smallest id. Nodes outside strongly connected parts are peeled off first: those without an import in
-    or out can lie on no cycle."""
+def strong_parts(out: dict, among: set) -> list[set]:
+    """The strongly connected parts of more than one node of the graph of `among`, by Tarjan without recursion."""
+    index, low, stack, on, parts = {}, {}, [], set(), []
+    for root in among:
+        if root in index:
+            continue
+        work = [(root, iter(out.get(root, ())))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in among:
+                    continue
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(out.get(w, ()))))
+                    break
+                if w in on:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    part = set()
+                    while v not in part:
+                        part.add(stack.pop())
+                    on -= part
+                    if len(part) > 1:
+                        parts.append(part)
+    return parts
+
+
+def count_cycles(out: dict, enough: int) -> int:
+    """The number of simple cycles of at least two nodes, of any length, as far as `enough`, by Johnson's walk: a node from which the start
+    was not reached is left alone until one after it is, so every cycle costs at most the size of its part."""
+    found, parts = 0, strong_parts(out, set(out))
+    while parts and found < enough:
+        part = parts.pop()
+        start = min(part)
+        path, blocked, closed, waiting = [start], {start}, set(), defaultdict(set)
+        near = {v: [w for w in out[v] if w in part] for v in part}
+        work = [(start, list(near[start]))]
+        while work and found < enough:
+            v, rest = work[-1]
+            if rest:
+                w = rest.pop()
+                if w == start:
+                    found += 1
+                    closed.update(path)
+                elif w not in blocked:
+                    path.append(w)
+                    work.append((w, list(near[w])))
+                    closed.discard(w)
+                    blocked.add(w)
+                continue
+            if v in closed:
+                free = [v]
+                while free:
+                    x = free.pop()
+                    if x in blocked:
+                        blocked.remove(x)
+                        free += waiting.pop(x, ())
+            else:
+                for w in near[v]:
+                    waiting[w].add(v)
+            work.pop()
+            path.pop()
+        parts += strong_parts(near, part - {start})
+    return min(found, enough)
+
+
+def import_cycles(g: Graph, enough: int = 5) -> int:
+    """The number of simple cycles of IMPORTS of any length, counted only as far as `enough`, where the penalty they bring is full. Nodes
+    without an import in or out can lie on no cycle and are peeled off while that pays; what is left is walked component by component."""
     e = materialize(g.edges.where("type = 'IMPORTS'").select("source_id", "target_id").distinct())
-    loops = e.where("source_id = target_id").limit(enough).count()
+    found = e.where("source_id = target_id").limit(enough).count()
+    if found >= enough:
+        return enough
     e = e.where("source_id <> target_id")
-    for _ in range(longest):
-        e = e.join(e.select(F.col("target_id").alias("source_id")).distinct(), "source_id", "left_semi").join(e.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi")
-    e = materialize(e)
-    walks, found = e.where("source_id < target_id").select(F.col("source_id").alias("first"), F.array("source_id", "target_id").alias("line"), F.col("target_id").alias("at")), loops
-    for _ in range(2, longest + 1):
-        if found >= enough:
+    n = e.count()
+    while n:
+        e = materialize(e.join(e.select(F.col("target_id").alias("source_id")).distinct(), "source_id", "left_semi").join(e.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi"))
+        before, n = n, e.count()
+        if n > 0.95 * before:
             break
-        more = walks.join(e, walks["at"] == e["source_id"]).where("target_id >= first")
-        found += more.where("target_id = first").limit(enough).count()
-        walks = materialize(more.where("target_id > first and not array_contains(line, target_id)").select("first", F.array_append("line", F.col("target_id")).alias("line"), F.col("target_id").alias("at")))
-    return min(found, enough)
+    if not n:
+        return found
+    of = components(e, e.select(F.col("source_id").alias("id")))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = defaultdict(list)
+        for a, b in sorted(zip(part["source_id"], part["target_id"])):
+            out[a].append(b)
+        return pd.DataFrame({"n": [count_cycles(out, enough)]})
+
+    each = e.join(of.select(F.col("id").alias("source_id"), "component"), "source_id").groupBy("component").applyInPandas(run, "n long")
+    return min(enough, found + (each.agg(F.sum("n")).first()[0] or 0))

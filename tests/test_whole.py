@@ -96,6 +96,35 @@ def test_long_ways(spark, tables, monkeypatch):
     assert traverse.shortest_path(g.edges, HUB, "w") == []
 
 
+def brute_cycles(edges):
+    out, found = defaultdict(set), 0
+    for a, b in edges:
+        out[a].add(b)
+    ids = {x for e in edges for x in e}
+
+    def walk(first, at, line):
+        return sum(1 if w == first else walk(first, w, line | {w}) if w > first and w not in line else 0 for w in out[at])
+
+    return sum(walk(x, x, {x}) for x in ids)
+
+
+def test_cycles_of_any_length(spark):
+    ring = [(f"m{i}", f"m{(i + 1) % 9}") for i in range(9)]
+    tail = [("m0", "t0"), ("t0", "t1"), ("s0", "m3")]
+    assert traverse.import_cycles(graph(spark, ring + tail)) == 1
+    two = [(f"k{i}", f"k{(i + 1) % 7}") for i in range(7)]
+    assert traverse.import_cycles(graph(spark, ring + tail + two + [("z", "z")])) == 3
+    assert traverse.import_cycles(graph(spark, tail)) == 0 and traverse.import_cycles(graph(spark, tail, "CALLS")) == 0
+    assert rank.architecture(graph(spark, ring))["cycle_penalty"] == 5
+    rng = random.Random(8)
+    for _ in range(300):
+        edges = {(a, b) for a in range(6) for b in range(6) if a != b and rng.random() < 0.3}
+        out = defaultdict(list)
+        for a, b in sorted(edges):
+            out[a].append(b)
+        assert traverse.count_cycles(out, 10**9) == brute_cycles(edges)
+
+
 def test_descendants_of_all_nodes(spark, tables):
     rng = random.Random(2)
     parent = {f"n{k:04}": f"n{rng.randrange(k):04}" if k else None for k in range(5000)}
