@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import top_by
+from graphloom.session import materialize
 
 #: Words that carry no meaning, metadata keys that do, constants of fusion and of BM25.
 STOPWORDS = "the a an is are was were in on at to for of with and or not this that it from by as".split()
@@ -78,6 +83,33 @@ def cosine_top(vectors: DataFrame, key: str, vector: str, query: list[float], li
     return top_by(s.where(F.col("score") > least), limit, F.desc("score"), F.asc(key))
 
 
+def cosine_top_each(vectors: DataFrame, queries: DataFrame, key: str, vector: str, limit: int = 10, least: float = 0.1, block: int = 2048) -> DataFrame:
+    """(query_id, key, score): cosine_top for each row of a table of query vectors, of the same columns. Blocks of queries meet blocks of
+    vectors; a pair of blocks gives at most `limit` rows a query, of which the best stay. Null, zero and odd-length vectors match nothing."""
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where(F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull()))
+        n = max(1, -(-df.count() // block))
+        rows = rows.groupBy(F.pmod(F.xxhash64("k"), F.lit(n)).alias("b"), F.size("v").alias("d")).agg(F.collect_list(F.struct("k", "v")).alias("r"))
+        return materialize(rows.select("d", F.transform("r", lambda x: x["k"]).alias(f"{name}k"), F.flatten(F.transform("r", lambda x: x["v"])).alias(f"{name}v")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d, qk, qv, vk, vv in zip(batch["d"], batch["qk"], batch["qv"], batch["vk"], batch["vv"]):
+                q, v, vk = np.reshape(qv, (-1, d)), np.reshape(vv, (-1, d)), np.asarray(vk)
+                score = (q @ v.T / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(v, axis=1)).round(6)
+                for i, k in enumerate(qk):
+                    hit = np.flatnonzero(score[i] > least)
+                    hit = hit[np.lexsort((vk[hit], -score[i][hit]))[:limit]]
+                    yield pd.DataFrame({"query_id": k, key: vk[hit], "score": score[i][hit]})
+
+    kind = vectors.select(F.col(key).alias("query_id"), key).schema.add("score", "double")
+    pairs = blocks(queries, "q").join(blocks(vectors, "v"), "d").repartition("qk", "vk")
+    best = pairs.select("d", "qk", "qv", "vk", "vv").mapInPandas(run, kind)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
+    return best.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+
+
 def exact_hits(nodes: DataFrame, query: str) -> DataFrame:
     """(id, cls, ord): nodes whose name (0), else description (1), contains the query."""
     q = F.lit(query.lower())

@@ -63,6 +63,16 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.cosine_top(v, "vec_id", "embedding", first, 50)
 
 
+_COSINES = _COSINE.replace("SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1", "SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0").replace("(SELECT vec_id, round(", "(SELECT query_id, vec_id, round(")
+
+
+@query("SELECT query_id, vec_id, score FROM c WHERE score > 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 50", ctes=_COSINES)
+def cosine_topk_each(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth vector as a query against all vectors."""
+    v = load(spark, d, "embeddings")
+    return search.cosine_top_each(v, v.where("vec_id % 50 = 0"), "vec_id", "embedding", 50)
+
+
 @query("SELECT id, CASE WHEN contains(lower(name), 'payment') THEN 0 ELSE 1 END AS cls, ord FROM n WHERE contains(lower(name), 'payment') OR contains(lower(coalesce(description, '')), 'payment')")
 def exact_rank(spark: SparkSession, d: str) -> DataFrame:
     return search.exact_hits(Graph.load(spark, d).nodes, "payment")

@@ -139,3 +139,17 @@ def test_descendants_of_all_nodes(spark, tables):
             up, n = parent[up], n + 1
     got = [tuple(r) for r in graph_checks.p6_descendants_all(spark, d).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_cosine_of_a_table_of_queries(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(300, 8))
+    rows = [(i, [float(x) for x in v[i]]) for i in range(300)] + [(300, [0.0] * 8), (301, None), (302, [1.0, 2.0]), (303, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = search.cosine_top_each(df, df.where("vec_id % 50 = 0"), "vec_id", "embedding", 7, block=40)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = set()
+    for i in range(0, 300, 50):
+        score = (unit @ unit[i]).round(6)
+        want |= {(i, int(j), float(score[j])) for j in np.lexsort((np.arange(300), -score))[:7] if score[j] > 0.1}
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 42
