@@ -46,6 +46,13 @@ def betweenness_modules(spark: SparkSession, d: str) -> DataFrame:
     return rank.betweenness(mods, g.induced(mods)).withColumn("betweenness", F.round("betweenness", 8))
 
 
+@query()
+def betweenness_all(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes and the edges between them, exact."""
+    g = Graph.load(spark, d)
+    return rank.betweenness(g.nodes, g.simple())
+
+
 @query()
 def importance(spark: SparkSession, d: str) -> DataFrame:
     return rank.importance(Graph.load(spark, d)).select("id", F.round("pagerank", 6).alias("pagerank"), "betweenness", "centrality", "score")

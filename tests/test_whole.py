@@ -153,3 +153,11 @@ def test_cosine_of_a_table_of_queries(spark):
         score = (unit @ unit[i]).round(6)
         want |= {(i, int(j), float(score[j])) for j in np.lexsort((np.arange(300), -score))[:7] if score[j] > 0.1}
     assert {tuple(r) for r in got.collect()} == want and len(want) == 42
+
+
+def test_betweenness_of_all_nodes(spark, monkeypatch):
+    edges = [("module:a:1", "function:b:2"), ("function:b:2", "module:c:3"), ("module:c:3", "file:d:4"), ("module:a:1", "file:d:4"), ("file:d:4", "module:a:1")]
+    monkeypatch.setattr(Graph, "load", staticmethod(lambda spark, d: graph(spark, edges)))
+    want = brute_betweenness(edges)
+    got = {r.id: r.betweenness for r in rank_queries.betweenness_all(spark, "").collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want) and got["function:b:2"] > 0
