@@ -1,9 +1,9 @@
 """Which source files people of the project wrote, and which are generated, minified, vendored or data.
 
 A random forest learns from the files that say what they are: a notice of a generator, a library's licence or a bundler makes a positive
-example, its absence a negative one. Notices, like all comments, are hidden from the features, so the forest also knows such files
-without their notice. What the text alone cannot tell, that a library's file is a copy, is counted over all files: bodies equal but for
-comments and blanks.
+example, its absence a negative one, each weighted by the share of its class among all files. Notices, like all comments, are hidden
+from the features, so the forest also knows such files without their notice. Exact checks follow for what no feature tells: a notice
+over text that looks written by hand, and a body equal, but for comments and blanks, to bodies that carry notices.
 """
 
 from __future__ import annotations
@@ -45,8 +45,8 @@ _LEXEMES = {
 }
 HASHES, SLASHES = (".py", ".sh", ".rb", ".yaml", ".yml"), (".js", ".jsx", ".ts", ".tsx", ".mjs", ".go", ".java")
 _TOKEN = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`|[^\W\d][\w$]*|\$[\w$]*|\d[\w.]*|[^\w\s]')
-_VERSION = re.compile(r"[\"'][A-Za-z][\w.-]* v?\d+\.\d+\.\d+[\"']")
-FEATURES = ["size", "lines", "longest_line", "mean_line", "blank_share", "compression", "entropy", "name_length", "short_names", "distinct_names", "comment_share", "digit_share", "literal_share", "number_share", "punctuation_share", "shape_share", "indent_share", "version_name", "copies"]
+_VERSION = re.compile(r"""["'`][^"'`\n]*\bv?\d+\.\d+\.\d+\b[^"'`\n]*["'`]""")
+FEATURES = ["size", "lines", "longest_line", "mean_line", "blank_share", "compression", "entropy", "name_length", "short_names", "distinct_names", "comment_share", "digit_share", "literal_share", "number_share", "punctuation_share", "shape_share", "indent_share", "version_name"]
 
 
 _HEAD = {True: re.compile(r"(?:\s*#[^\n]*(?:\n|\Z))*"), False: re.compile(r"(?:\s*(?://[^\n]*(?:\n|\Z)|/\*.*?(?:\*/|\Z)))*", re.S)}
@@ -94,7 +94,7 @@ def body_digest(body: str) -> bytes:
 
 
 def describe(text: str, hashes: bool, notes: list[tuple[int, int]]) -> tuple[list[float], bytes, int]:
-    """(features but copies, digest of the body, size of the body) of a whole file."""
+    """(features, digest of the body, size of the body) of a whole file; an empty body has all its shares at 0."""
     text, body = between(text, hashes, notes)  # the comments a file begins and ends with may be notices
     solid = len(body) - body.count(" ") - body.count("\n") - body.count("\t") - body.count("\r")
     lines = [x for x in body.split("\n") if x.strip()]
@@ -135,58 +135,83 @@ def describe_files(files: DataFrame, key: str, path: str, text: str) -> DataFram
     return rows.mapInPandas(run, rows.select("key").schema.add("kind", "string").add("f", T.ArrayType(T.DoubleType())).add("digest", "binary").add("solid", "integer"))
 
 
-#: The forest learns from at most so many files that carry a notice and so many that carry none, the first by a hash of their keys.
+#: The forest learns from at most so many files of each label, the first by a hash of their keys; each label weighs what it weighs among
+#: all files, so the bounds move no threshold.
 MAX_MARKED, MAX_UNMARKED = 3000, 6000
-SOLID, DATA_SHARE, DOUBT = 300, 0.28, 0.1
+#: Unmarked examples that forests of other examples give this probability are no examples of handwriting; passes that look for them.
+DOUBT, PASSES = 0.2, 2
+#: A body is a copy of marked ones if this share of the files that hold it carry notices.
+KIN_SHARE = 0.25
+#: Data carries no notice; so a share of literals among the tokens, in a body of some size, labels examples of it. Labels only.
+DATA_SHARE, DATA_SIZE = 0.28, 300
 _LITERAL, _NUMBER = FEATURES.index("literal_share"), FEATURES.index("number_share")
 
 
-def with_copies(described: DataFrame) -> DataFrame:
-    """described with `copies` appended to f and `kin`, whether any file with the same body carries a notice. Bodies under SOLID
-    characters that count (empty files, stubs) are no copies of each other."""
-    bodies = described.where(F.col("solid") >= SOLID).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("kind").isNotNull()).alias("kin"))
+def with_kin(described: DataFrame) -> DataFrame:
+    """described with n, the number of files with the same body, and `kin`, whether KIN_SHARE of them carry a notice. Digests alone move:
+    they are counted before the shuffle, and bodies held once, nearly all, need no join partner beyond their own row."""
+    bodies = described.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("marked")).where("n > 1")
     both = described.join(bodies, "digest", "left")
-    return both.select("key", "kind", "solid", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("kin", F.lit(False)).alias("kin"), F.array_append("f", F.log2(F.coalesce("n", F.lit(1)).cast("double"))).alias("f"))
+    return both.select("key", "kind", "f", "solid", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce((F.col("solid") > 0) & (F.col("marked") >= F.col("n") * KIN_SHARE), F.lit(False)).alias("kin"))
 
 
 def is_data(f: Column, solid: Column) -> Column:
-    """Data stored as code tells itself: next to nothing but literals. Such files carry no notice, so this stands in for one."""
-    return (F.element_at(f, _LITERAL + 1) + F.element_at(f, _NUMBER + 1) >= DATA_SHARE) & (solid >= SOLID)
+    """Next to nothing but literals."""
+    return (F.element_at(f, _LITERAL + 1) + F.element_at(f, _NUMBER + 1) >= DATA_SHARE) & (solid >= DATA_SIZE)
 
 
-def train(table: DataFrame, trees: int = 40, depth: int = 8, seed: int = 7):
-    """A fitted forest, or None where there are no examples of one kind. Unmarked files are mostly written by hand, but not all: a first
-    forest finds the unmarked ones it doubts, which the second does without; copies are no examples of handwriting either."""
+def train(table: DataFrame, trees: int = 40, depth: int = 10, seed: int = 7):
+    """A fitted forest, or None where there are no examples of one label.
+
+    Unmarked files are mostly written by hand, but not all. So the sample is halved by a hash, a forest of each half judges the other, and
+    the unmarked files it doubts are left out; PASSES times, as each pass finds what the examples it still had hid. Repeated bodies are
+    examples like others. Weights are the labels' counts over all files."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    marked = F.col("kind").isNotNull() | is_data(F.col("f"), F.col("solid"))
+    marked = F.col("kind").isNotNull() | F.col("kin") | is_data(F.col("f"), F.col("solid"))
     order = F.xxhash64(F.col("key"))
-    examples = table.select("key", "n", marked.alias("marked"), array_to_vector("f").alias("v"))
-    yes = examples.where("marked").orderBy(order, "key").limit(MAX_MARKED)
-    no = examples.where("not marked and n = 1").orderBy(order, "key").limit(MAX_UNMARKED)
-    sample = materialize(yes.unionByName(no).select("key", "v", F.col("marked").cast("double").alias("label")).coalesce(1).sortWithinPartitions("key"))
-    if sample.select("label").distinct().count() < 2:
+    examples = table.select("key", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(2)).alias("half"), marked.alias("marked"), array_to_vector("f").alias("v"))
+    total = {r.marked: r.n for r in examples.groupBy("marked").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(total) < 2:
+        return None
+    weight = {m: total[m] / min(total[m], most) for m, most in ((True, MAX_MARKED), (False, MAX_UNMARKED))}
+    yes = examples.where("marked").orderBy(order, "key").limit(MAX_MARKED).withColumn("w", F.lit(weight[True] / min(weight.values())))
+    no = examples.where("not marked").orderBy(order, "key").limit(MAX_UNMARKED).withColumn("w", F.lit(weight[False] / min(weight.values())))
+    sample = materialize(yes.unionByName(no).select("key", "half", "v", F.col("marked").cast("double").alias("label"), "w").coalesce(1).sortWithinPartitions("key"))
+    forest = RandomForestClassifier(featuresCol="v", weightCol="w", numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2, featureSubsetStrategy="onethird")
+    sure = sample
+    for _ in range(PASSES):
+        judged = None
+        for half in (0, 1):
+            others = sure.where(F.col("half") != half)
+            if others.select("label").distinct().count() < 2:
+                continue  # too few files to halve
+            judge = forest.fit(others).copy()  # a copy has no training summary, which would take the session along to the executors
+            part = judge.transform(sample.where(F.col("half") == half)).where((F.col("label") == 1) | (vector_to_array("probability")[1] < DOUBT)).select(*sample.columns)
+            judged = part if judged is None else judged.unionByName(part)
+        if judged is None or judged.select("half").distinct().count() < 2:
+            break
+        sure = materialize(judged.coalesce(1).sortWithinPartitions("key"))
+    if sure.select("label").distinct().count() < 2:
         return None
-    forest = RandomForestClassifier(featuresCol="v", numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2, featureSubsetStrategy="onethird")
-    first = forest.fit(sample).copy()  # a copy has no training summary, which would take the session along to the executors
-    sure = first.transform(sample).where((F.col("label") == 1) | (vector_to_array("probability")[1] < DOUBT)).select("key", "v", "label")
-    return forest.fit(materialize(sure.coalesce(1))).copy()
+    return forest.fit(sure).copy()
 
 
 def verdicts(files: DataFrame, key: str, path: str, text: str, threshold: float = 0.5) -> DataFrame:
     """(key, verdict, probability, notice): one row per file; verdict is handwritten, generated, minified, vendored or data.
 
-    Notices and comments are read over the whole text, however long. A file is not handwritten if the forest's probability reaches the threshold, or by the exact checks after it: it carries a notice, it
-    is a copy of a file that does, or is data by is_data. The kind is the notice's, or follows what is plain: data, copies, long lines, else
-    generated. Null and empty texts, stubs and comments alone are handwritten unless a notice says otherwise; a null path counts as code
-    with slash comments; equal files get equal verdicts."""
+    Notices and comments are read over the whole text, however long. A file is not handwritten if the forest's probability reaches the
+    threshold, or, by the exact checks after it, if it carries a notice or is a copy of files that do (see KIN_SHARE). The kind is the
+    notice's, or follows what is plain: data, copies, long lines, else generated. Null and empty texts and comments alone are handwritten
+    unless a notice says otherwise; a null path counts as code with slash comments; equal files get equal verdicts."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    table = materialize(with_copies(materialize(describe_files(files, key, path, text))))
+    table = materialize(with_kin(materialize(describe_files(files, key, path, text))))
     model = train(table)
     scored = model.transform(table.withColumn("v", array_to_vector("f"))).withColumn("p", vector_to_array("probability")[1]) if model else table.withColumn("p", F.lit(0.0))
+    scored = scored.withColumn("p", F.when(F.col("solid") > 0, F.col("p")).otherwise(F.lit(0.0)))
     data, long_lines = is_data(F.col("f"), F.col("solid")), F.element_at("f", FEATURES.index("mean_line") + 1) > math.log1p(200)
-    hit = F.col("kind").isNotNull() | F.col("kin") | data | ((F.col("p") >= threshold) & (F.col("solid") >= 20))
+    hit = (F.col("p") >= threshold) | F.col("kind").isNotNull() | F.col("kin")
     kind = F.when(~hit, "handwritten").when(F.col("kind").isNotNull(), F.col("kind")).when(data, "data").when(F.col("n") > 1, "vendored").when(long_lines, "minified").otherwise("generated")
     return scored.select(F.col("key").alias(key), kind.alias("verdict"), F.round("p", 4).alias("probability"), F.col("kind").alias("notice"))
