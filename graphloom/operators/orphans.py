@@ -1,91 +1,130 @@
 """References to parents that do not exist at the time of the reference.
 
-A parent exists during lifetimes. Its lifetimes, as integer keys (microseconds, or the integer keys themselves), are
-compressed into contiguous runs; a reference is matched as of its own integer key to the run that starts at or before
-it, and is an orphan if no run does or if it lies beyond that run's end.
+Ids become dense integer codes, and a parent living from one time to another holds the integer keys (code, time) of that stretch. In
+the order of the keys, parents that neighbour each other without a gap, in time or from one code to the next, form contiguous runs. A
+reference is a key too: it is matched as of itself to the run that starts at or before it, and is an orphan if it lies beyond that
+run's end. Codes count the ids of references and parents alike, so an id without parent is a gap that ends a run.
+
+Keys are cut into blocks by a hash of the id, and codes, runs and matches are made in one sorted pass over each block: one shuffle
+of references and parents, no join.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import heavy_keys
-
 FOREVER = 9223372036854775806
+#: References of one block, about; ids that hold more than HOT of all references (at most 1/HOT of them) are spread over SPREAD blocks.
+BLOCK_ROWS, HOT, SPREAD = 100_000, 0.002, 32
+
+
+@dataclass
+class Profile:
+    """What the references look like: their number, first and last time, and the hashes of hot ids, which only route rows."""
+
+    n: int
+    first: int | None
+    last: int | None
+    hot: list[int]
+
+
+def profile(refs: DataFrame, ref: str, at: str) -> Profile:
+    """One pass over the references, summed before the shuffle; at most 1/HOT hashes reach the driver, whatever the size."""
+    counts = refs.groupBy(F.xxhash64(ref).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+    total = counts.agg(F.sum("n").alias("total"), F.min("first").alias("first"), F.max("last").alias("last"))
+    found = total.join(counts.select("h", F.col("n").alias("m")), (F.col("m") > F.col("total") * HOT) & (F.col("m") > 1000), "left").select("total", "first", "last", "h").collect()
+    return Profile(found[0]["total"] or 0, found[0]["first"], found[0]["last"], [r["h"] for r in found if r["h"] is not None])
+
+
+def keyed(refs: DataFrame, ref: str, at: str, parents: DataFrame, like: Profile) -> DataFrame:
+    """(block, code, at, upto, id, row): parents, with row null and upto the end of the lifetime, and references, with upto null and row
+    the whole row, under dense codes. Lifetimes are clipped to the times references have, so that parents alive all through adjoin."""
+    blocks, hot = max(12, like.n // BLOCK_ROWS), like.hot
+    home = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    spread = F.xxhash64("id").isin(hot) if hot else F.lit(False)
+    p = parents.select("id", F.greatest("start", F.lit(like.first)).alias("at"), F.least(F.coalesce("end", F.lit(FOREVER)), F.lit(like.last)).alias("upto"))
+    p = p.where("id is not null and at <= upto").withColumn("slot", F.explode(F.when(spread, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
+    r = refs.select(F.col(ref).alias("id"), F.col(at).alias("at"), F.struct(*refs.columns).alias("row"))
+    r = r.withColumn("slot", F.when(spread, F.pmod(F.xxhash64("row"), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0)))
+    both = p.withColumn("row", F.lit(None).cast(r.schema["row"].dataType)).select("id", "at", "upto", "slot", "row").unionByName(r.withColumn("upto", F.lit(None).cast("long")))
+    keys = both.select(F.pmod(home + F.col("slot") * 7919, F.lit(blocks)).alias("block"), "slot", "id", "at", "upto", "row")
+    order = _in_block()
+    fresh = F.coalesce((F.col("id") != F.lag("id").over(order)) | (F.col("slot") != F.lag("slot").over(order)), F.lit(True))
+    return keys.withColumn("fresh", fresh.cast("int")).withColumn("code", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _in_block():
+    """Parents come before references of the same time."""
+    return Window.partitionBy("block").orderBy("slot", "id", "at", F.col("row").isNotNull())
+
+
+def runs(keys: DataFrame, like: Profile) -> DataFrame:
+    """keys with, of the run that starts at or before each row, run (its number in the block, 0 if there is none), and run_end (code, upto):
+    how far it reaches by the parents up to this row, which decides on any row here, as later parents start later."""
+    here = _in_block()
+    end = F.when(F.col("row").isNull(), F.struct("code", "upto"))
+    before = F.max(end).over(here.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.when(before["upto"] == like.last, F.struct((before["code"] + 1).alias("code"), F.lit(like.first).alias("at"))).otherwise(F.struct(before["code"].alias("code"), (before["upto"] + 1).alias("at")))
+    starts = F.col("row").isNull() & F.coalesce(F.struct("code", "at") > after, F.lit(True))
+    out = keys.withColumn("starts", starts.cast("int")).withColumn("run_end", F.max(end).over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.withColumn("run", F.sum("starts").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def parent_runs(refs: DataFrame, ref: str, at: str, parents: DataFrame) -> DataFrame:
+    """(block, run, n_parents, first_id, first_at, last_id, last_at): the contiguous runs that lifetimes are compressed into."""
+    like = profile(refs.where(F.col(ref).isNotNull()), ref, at)
+    if like.first is None:
+        return refs.sparkSession.createDataFrame([], "block long, run long, n_parents long, first_id string, first_at long, last_id string, last_at long")
+    found = runs(keyed(refs.where(F.col(ref).isNotNull() & F.col(at).isNotNull()), ref, at, parents, like), like).where("row is null")
+    first, last = F.min(F.struct("code", "at", "id")), F.max(F.struct("code", "upto", "id"))
+    return found.groupBy("block", "run").agg(F.count(F.lit(1)).alias("n_parents"), first.alias("f"), last.alias("l")).select("block", "run", "n_parents", F.col("f.id").alias("first_id"), F.col("f.at").alias("first_at"), F.col("l.id").alias("last_id"), F.col("l.upto").alias("last_at"))
+
+
+def as_of_orphans(refs: DataFrame, ref: str, at: str, parents: DataFrame) -> DataFrame:
+    """The rows of refs, with all their columns, whose integer time `at` no parent (id, start, end; long) of their id covers.
+
+    Both bounds of a lifetime belong to it and a null end is open; a null start, a null id or an end before the start is no lifetime;
+    several lifetimes of one id add up. A null `at` exists at no time, so such a row is an orphan; a null ref refers to nothing and is
+    left out; repeated rows stay repeated; either side may be empty."""
+    refs = refs.where(F.col(ref).isNotNull())
+    timeless = refs.where(F.col(at).isNull())
+    like = profile(refs, ref, at)
+    if like.first is None:
+        return timeless
+    p = parents.where("start is not null")
+    matched = runs(keyed(refs.where(F.col(at).isNotNull()), ref, at, p, like), like).where("row is not null")
+    beyond = (F.col("run") == 0) | (F.struct("code", F.col("at").alias("upto")) > F.col("run_end"))
+    return matched.where(beyond).select("row.*").unionByName(timeless)
+
+
+def endpoints(edges: DataFrame, key, edge_id: str = "edge_id", at: str = "indexed_at") -> DataFrame:
+    """(edge_id, endpoint, ref, at): one row for each end of an edge that is not null; key(column) gives the form compared."""
+    ends = F.array(*[F.struct(F.lit(c).alias("endpoint"), key(c).alias("ref")) for c in ("source_id", "target_id")])
+    return edges.select(F.col(edge_id).alias("edge_id"), F.unix_micros(at).alias("at"), F.inline(ends)).where("ref is not null")
 
 
-def contiguous_runs(parents: DataFrame, group: list[str], start: str, end: str) -> DataFrame:
-    """(group..., run_start, run_end): the integer ranges [start, end] of each group merged where they overlap or adjoin.
-    Rows with a null start or with end < start hold no key and vanish; a null end is open; an empty table gives no runs."""
-    p = parents.select(*group, F.col(start).cast("long").alias("_s"), F.coalesce(F.col(end).cast("long"), F.lit(FOREVER)).alias("_e"))
-    p = p.where(F.col("_s").isNotNull() & (F.col("_e") >= F.col("_s")))
-    by = Window.partitionBy(*group).orderBy("_s", "_e")
-    before = F.max("_e").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    p = p.withColumn("_new", F.coalesce((F.col("_s") > before + 1).cast("int"), F.lit(1)))
-    p = p.withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return p.groupBy(*group, "_run").agg(F.min("_s").alias("run_start"), F.max("_e").alias("run_end")).drop("_run")
-
-
-def compress_keys(parents: DataFrame, key: str, width: int = 1 << 20) -> DataFrame:
-    """Plain integer parent keys (one lifetime per key) as runs. Work is cut into blocks of `width` neighbouring keys, so no
-    task sees more than `width` distinct keys; a run longer than a block shows as one run per block, which changes no match."""
-    keys = parents.select(F.col(key).cast("long").alias("_k")).where("_k is not null").distinct()
-    keys = keys.withColumn("block", F.floor(F.col("_k") / width).cast("long"))
-    return contiguous_runs(keys, ["block"], "_k", "_k")
-
-
-def as_of_orphans(refs: DataFrame, ref_key: str, runs: DataFrame, run_key: str, at: str, spread: bool = True) -> DataFrame:
-    """The rows of refs (all columns kept) whose integer `at` lies in no run of their key.
-    A null `at` exists at no time, so such a row is an orphan; a null ref_key refers to nothing and is left out; repeated rows stay
-    repeated. Keys that hold more than 1/500 of all references (so at most 500 keys, whatever the size) are matched against a
-    broadcast of their runs where they are; all others meet their runs in one shuffle."""
-    refs = refs.where(F.col(ref_key).isNotNull())
-    packed = runs.groupBy(F.col(run_key).alias("_rk")).agg(F.sort_array(F.collect_list(F.struct("run_start", "run_end"))).alias("_runs"))
-    hot = heavy_keys(refs, F.col(ref_key)) if spread else []
-    if not hot:
-        return _beyond(refs.join(packed, F.col(ref_key) == F.col("_rk"), "left"), at)
-    is_hot = lambda c: F.xxhash64(c).isin(hot)
-    cold = refs.where(~is_hot(F.col(ref_key))).join(packed, F.col(ref_key) == F.col("_rk"), "left")
-    few = packed.where(is_hot(F.col("_rk")))
-    near = refs.where(is_hot(F.col(ref_key))).join(F.broadcast(few), F.col(ref_key) == F.col("_rk"), "left")
-    return _beyond(cold, at).unionByName(_beyond(near, at))
-
-
-def _beyond(joined: DataFrame, at: str) -> DataFrame:
-    when = F.col(at)
-    preceding = F.element_at(F.filter("_runs", lambda r: r["run_start"] <= when), -1)["run_end"]
-    covered = F.when(F.size(F.filter("_runs", lambda r: r["run_start"] <= when)) > 0, preceding >= when)
-    return joined.where(~F.coalesce(covered, F.lit(False))).drop("_rk", "_runs")
-
-
-def integer_orphans(refs: DataFrame, ref_key: str, parents: DataFrame, parent_key: str, width: int = 1 << 20) -> DataFrame:
-    """Orphans among integer references to integer parent keys, without time: both sides meet per block of `width` keys."""
-    runs = compress_keys(parents, parent_key, width)
-    refs = refs.withColumn("_block", F.floor(F.col(ref_key).cast("long") / width).cast("long"))
-    refs = refs.withColumn("_at", F.col(ref_key).cast("long"))
-    return as_of_orphans(refs, "_block", runs, "block", "_at").drop("_block", "_at")
-
-
-def endpoints(edges: DataFrame, key: Column, edge_id: str = "edge_id", at: str = "indexed_at") -> DataFrame:
-    """(edge_id, endpoint, ref, at, period): one row for each end of an edge that is not null; key(column) gives the form compared."""
-    ends = F.array(*[F.struct(F.lit(c).alias("endpoint"), key(c).alias("ref")) for c in ("source_id", "target_id")])
-    out = edges.select(F.col(edge_id).alias("edge_id"), F.col(at).alias("at_time"), F.inline(ends))
-    return out.where("ref is not null").select("edge_id", "endpoint", "ref", F.unix_micros("at_time").alias("at"), F.date_format("at_time", "yyyy-MM").alias("period"))
+def lifetimes(nodes: DataFrame, key) -> DataFrame:
+    """(id, start, end) in microseconds, both included, of [first_seen, removed_at)."""
+    return nodes.select(key("id").alias("id"), F.unix_micros("first_seen").alias("start"), (F.unix_micros("removed_at") - 1).alias("end"))
+
+
+def period(at: Column) -> Column:
+    return F.date_format(F.timestamp_micros(at), "yyyy-MM")
 
 
 def edge_orphans(nodes: DataFrame, edges: DataFrame, key) -> DataFrame:
-    """(edge_id, endpoint, ref, at, period): ends of edges that name no node existing at indexed_at, lifetimes being
-    [first_seen, removed_at). Several rows of one id add up their lifetimes; empty tables are allowed on either side."""
-    spans = nodes.select(key("id").alias("id"), F.unix_micros("first_seen").alias("s"), (F.unix_micros("removed_at") - 1).alias("e")).where("id is not null")
-    return as_of_orphans(endpoints(edges, key), "ref", contiguous_runs(spans, ["id"], "s", "e"), "id", "at")
+    """(edge_id, endpoint, ref, at): ends of edges that name no node existing at indexed_at, see as_of_orphans."""
+    return as_of_orphans(endpoints(edges, key), "ref", "at", lifetimes(nodes, key))
 
 
 def orphan_report(nodes: DataFrame, edges: DataFrame, key) -> DataFrame:
     """(endpoint, period, n_refs, n_orphans, orphan_ids): counts per edge end and month; a null indexed_at has a null period."""
     by = ["endpoint", "period"]
-    all_refs = endpoints(edges, key).groupBy(*by).agg(F.count(F.lit(1)).alias("n_refs"))
-    lost = edge_orphans(nodes, edges, key).groupBy(*by, "ref").agg(F.count(F.lit(1)).alias("n"))
+    all_refs = endpoints(edges, key).groupBy("endpoint", period(F.col("at")).alias("period")).agg(F.count(F.lit(1)).alias("n_refs"))
+    lost = edge_orphans(nodes, edges, key).groupBy("endpoint", period(F.col("at")).alias("period"), "ref").agg(F.count(F.lit(1)).alias("n"))
     lost = lost.groupBy(*by).agg(F.sum("n").alias("n_orphans"), F.count(F.lit(1)).alias("orphan_ids"))
     cond = [all_refs[c].eqNullSafe(lost[c]) for c in by]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)

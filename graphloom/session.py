@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -48,10 +49,13 @@ def plain(c: Column | str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset and all runs in one process (local master), one of our own;
+    on a cluster that would be another disk for each executor, so there it is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="graphloom-")
         _own.append(found)
         sc.setCheckpointDir(found)
@@ -109,11 +113,3 @@ def _drop_own() -> None:
     for p in _own:
         shutil.rmtree(p, ignore_errors=True)
 
-
-def heavy_keys(df: DataFrame, key: Column, share: float = 0.002) -> list[int]:
-    """xxhash64 of the keys that hold more than this share of df's rows: at most 1/share values, whatever the size.
-    They only route rows, so a collision of hashes costs nothing but the detour."""
-    counts = df.select(F.xxhash64(key).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("t"))
-    rows = counts.join(F.broadcast(total)).where((F.col("n") > F.col("t") * share) & (F.col("n") > 1000)).select("h").collect()
-    return [r.h for r in rows]

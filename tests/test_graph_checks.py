@@ -37,19 +37,34 @@ def test_orphans_of_empty_tables(spark, tables):
 
 
 def test_runs_merge_and_hot_keys(spark):
-    p = spark.createDataFrame([("k", 1, 3), ("k", 4, 6), ("k", 5, 9), ("k", 12, 12), ("k", 20, None), ("z", 5, 4), ("z", None, 3)], "g string, s long, e long")
-    assert rows(orphans.contiguous_runs(p, ["g"], "s", "e")) == sorted([("k", 1, 9), ("k", 12, 12), ("k", 20, orphans.FOREVER)], key=repr)
-    refs = spark.range(0, 6000).select(F.lit("k").alias("g"), (F.col("id") % 15).alias("at"))
-    lost = orphans.as_of_orphans(refs, "g", orphans.contiguous_runs(p, ["g"], "s", "e"), "g", "at")
+    p = spark.createDataFrame([("k", 1, 3), ("k", 4, 6), ("k", 5, 9), ("k", 12, 12), ("k", 20, None), ("z", 5, 4), ("z", None, 3)], "id string, start long, end long")
+    refs = spark.range(0, 6000).select(F.lit("k").alias("g"), (F.col("id") % 15).alias("at"), F.lit(1).alias("id"), F.lit(2).alias("row"), F.lit(3).alias("block"))
+    assert orphans.profile(refs, "g", "at").hot
+    lost = orphans.as_of_orphans(refs, "g", "at", p)
+    assert lost.columns == refs.columns
     assert {r["at"] for r in lost.select("at").distinct().collect()} == {0, 10, 11, 13, 14}
     assert lost.count() == 5 * 400
 
 
-def test_integer_keys(spark):
-    parents = spark.createDataFrame([(x,) for x in (*range(5, 50), *range(60, 70), None)], "k long")
-    assert len(orphans.compress_keys(parents, "k").collect()) == 2
-    refs = spark.createDataFrame([(x,) for x in (4, 5, 49, 50, 59, 60, 69, 70, None)], "r long")
-    assert [r.r for r in sorted(orphans.integer_orphans(refs, "r", parents, "k", width=16).collect())] == [4, 50, 59, 70]
+def test_lifetimes_compress_to_runs(spark):
+    """Parents alive all through adjoin from code to code; an id without parent, a late start or an early end breaks the run."""
+    p = spark.createDataFrame([(f"n{k:04}", 0, None) for k in range(3000)] + [("short", 5, 7)], "id string, start long, end long")
+    refs = spark.createDataFrame([(f"n{k:04}", k % 10 + 1) for k in range(3100)] + [("short", 4), ("short", 5), ("short", 8), ("short", None)], "ref string, at long")
+    found = orphans.parent_runs(refs, "ref", "at", p)
+    assert found.agg(F.sum("n_parents")).first()[0] == 3001 and found.count() <= 12 + 100 + 1
+    want = sorted([("n%04d" % k, k % 10 + 1) for k in range(3000, 3100)] + [("short", 4), ("short", 8), ("short", None)], key=repr)
+    assert rows(orphans.as_of_orphans(refs, "ref", "at", p)) == want
+
+
+def test_orphans_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    p = [(f"i{rng.randrange(40)}", s := rng.choice([None, *range(20)]), rng.choice([None, (s or 0) + rng.randrange(-2, 6)])) for _ in range(60)]
+    r = [(k, rng.choice([None, f"i{rng.randrange(60)}"]), rng.choice([None, *range(25)])) for k in range(800)]
+    want = [x for x in r if x[1] is not None and not any(i == x[1] and s is not None and x[2] is not None and s <= x[2] and (e is None or x[2] <= e) for i, s, e in p)]
+    got = orphans.as_of_orphans(spark.createDataFrame(r, "k long, ref string, at long"), "ref", "at", spark.createDataFrame(p, "id string, start long, end long"))
+    assert rows(got) == sorted(want, key=repr)
 
 
 def brute_cycles(pairs):
