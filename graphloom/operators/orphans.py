@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 FOREVER = 9223372036854775806
@@ -33,24 +33,29 @@ class Profile:
 
 def profile(refs: DataFrame, ref: str, at: str) -> Profile:
     """One pass over the references, summed before the shuffle; at most 1/HOT hashes reach the driver, whatever the size."""
-    counts = refs.groupBy(F.xxhash64(ref).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
-    total = counts.agg(F.sum("n").alias("total"), F.min("first").alias("first"), F.max("last").alias("last"))
-    found = total.join(counts.select("h", F.col("n").alias("m")), (F.col("m") > F.col("total") * HOT) & (F.col("m") > 1000), "left").select("total", "first", "last", "h").collect()
-    return Profile(found[0]["total"] or 0, found[0]["first"], found[0]["last"], [r["h"] for r in found if r["h"] is not None])
+    if refs.isEmpty():  # nothing would be observed
+        return Profile(0, None, None, [])
+    seen = Observation()
+    watched = refs.select(F.xxhash64(ref).alias("h"), at).observe(seen, F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+    counts = watched.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where("n > 1000").orderBy(F.desc("n")).limit(round(1 / HOT)).collect()
+    got = seen.get
+    return Profile(got["n"], got["first"], got["last"], [r["h"] for r in top if r["n"] > got["n"] * HOT])
 
 
 def keyed(refs: DataFrame, ref: str, at: str, parents: DataFrame, like: Profile) -> DataFrame:
-    """(block, code, at, upto, id, row): parents, with row null and upto the end of the lifetime, and references, with upto null and row
-    the whole row, under dense codes. Lifetimes are clipped to the times references have, so that parents alive all through adjoin."""
+    """(block, code, at, upto, id, kind, row): parents, with kind 0 and upto the end of the lifetime, and references, with kind 1 and row
+    the other columns, under dense codes. Lifetimes are clipped to the times references have, so that parents alive all through adjoin."""
     blocks, hot = max(12, like.n // BLOCK_ROWS), like.hot
     home = F.pmod(F.xxhash64("id"), F.lit(blocks))
     spread = F.xxhash64("id").isin(hot) if hot else F.lit(False)
     p = parents.select("id", F.greatest("start", F.lit(like.first)).alias("at"), F.least(F.coalesce("end", F.lit(FOREVER)), F.lit(like.last)).alias("upto"))
     p = p.where("id is not null and at <= upto").withColumn("slot", F.explode(F.when(spread, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
-    r = refs.select(F.col(ref).alias("id"), F.col(at).alias("at"), F.struct(*refs.columns).alias("row"))
+    rest = [F.col(c) for c in refs.columns if c not in (ref, at)]
+    r = refs.select(F.col(ref).alias("id"), F.col(at).alias("at"), F.struct(*rest, F.lit(1).alias("_kind")).alias("row"))
     r = r.withColumn("slot", F.when(spread, F.pmod(F.xxhash64("row"), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0)))
-    both = p.withColumn("row", F.lit(None).cast(r.schema["row"].dataType)).select("id", "at", "upto", "slot", "row").unionByName(r.withColumn("upto", F.lit(None).cast("long")))
-    keys = both.select(F.pmod(home + F.col("slot") * 7919, F.lit(blocks)).alias("block"), "slot", "id", "at", "upto", "row")
+    both = p.withColumn("row", F.lit(None).cast(r.schema["row"].dataType)).select("id", "at", "upto", "slot", "row", F.lit(0).alias("kind")).unionByName(r.withColumns({"upto": F.lit(None).cast("long"), "kind": F.lit(1)}))
+    keys = both.select(F.pmod(home + F.col("slot") * 7919, F.lit(blocks)).alias("block"), "slot", "id", "at", "upto", "kind", "row")
     order = _in_block()
     fresh = F.coalesce((F.col("id") != F.lag("id").over(order)) | (F.col("slot") != F.lag("slot").over(order)), F.lit(True))
     return keys.withColumn("fresh", fresh.cast("int")).withColumn("code", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -58,17 +63,17 @@ def keyed(refs: DataFrame, ref: str, at: str, parents: DataFrame, like: Profile)
 
 def _in_block():
     """Parents come before references of the same time."""
-    return Window.partitionBy("block").orderBy("slot", "id", "at", F.col("row").isNotNull())
+    return Window.partitionBy("block").orderBy("slot", "id", "at", "kind")
 
 
 def runs(keys: DataFrame, like: Profile) -> DataFrame:
     """keys with, of the run that starts at or before each row, run (its number in the block, 0 if there is none), and run_end (code, upto):
     how far it reaches by the parents up to this row, which decides on any row here, as later parents start later."""
     here = _in_block()
-    end = F.when(F.col("row").isNull(), F.struct("code", "upto"))
+    end = F.when(F.col("kind") == 0, F.struct("code", "upto"))
     before = F.max(end).over(here.rowsBetween(Window.unboundedPreceding, -1))
     after = F.when(before["upto"] == like.last, F.struct((before["code"] + 1).alias("code"), F.lit(like.first).alias("at"))).otherwise(F.struct(before["code"].alias("code"), (before["upto"] + 1).alias("at")))
-    starts = F.col("row").isNull() & F.coalesce(F.struct("code", "at") > after, F.lit(True))
+    starts = (F.col("kind") == 0) & F.coalesce(F.struct("code", "at") > after, F.lit(True))
     out = keys.withColumn("starts", starts.cast("int")).withColumn("run_end", F.max(end).over(here.rowsBetween(Window.unboundedPreceding, 0)))
     return out.withColumn("run", F.sum("starts").over(here.rowsBetween(Window.unboundedPreceding, 0)))
 
@@ -78,7 +83,7 @@ def parent_runs(refs: DataFrame, ref: str, at: str, parents: DataFrame) -> DataF
     like = profile(refs.where(F.col(ref).isNotNull()), ref, at)
     if like.first is None:
         return refs.sparkSession.createDataFrame([], "block long, run long, n_parents long, first_id string, first_at long, last_id string, last_at long")
-    found = runs(keyed(refs.where(F.col(ref).isNotNull() & F.col(at).isNotNull()), ref, at, parents, like), like).where("row is null")
+    found = runs(keyed(refs.where(F.col(ref).isNotNull() & F.col(at).isNotNull()), ref, at, parents, like), like).where("kind = 0")
     first, last = F.min(F.struct("code", "at", "id")), F.max(F.struct("code", "upto", "id"))
     return found.groupBy("block", "run").agg(F.count(F.lit(1)).alias("n_parents"), first.alias("f"), last.alias("l")).select("block", "run", "n_parents", F.col("f.id").alias("first_id"), F.col("f.at").alias("first_at"), F.col("l.id").alias("last_id"), F.col("l.upto").alias("last_at"))
 
@@ -95,9 +100,10 @@ def as_of_orphans(refs: DataFrame, ref: str, at: str, parents: DataFrame) -> Dat
     if like.first is None:
         return timeless
     p = parents.where("start is not null")
-    matched = runs(keyed(refs.where(F.col(at).isNotNull()), ref, at, p, like), like).where("row is not null")
+    matched = runs(keyed(refs.where(F.col(at).isNotNull()), ref, at, p, like), like).where("kind = 1")
     beyond = (F.col("run") == 0) | (F.struct("code", F.col("at").alias("upto")) > F.col("run_end"))
-    return matched.where(beyond).select("row.*").unionByName(timeless)
+    back = [F.col("id" if c == ref else "at" if c == at else f"row.{c}").alias(c) for c in refs.columns]
+    return matched.where(beyond).select(*back).unionByName(timeless)
 
 
 def endpoints(edges: DataFrame, key, edge_id: str = "edge_id", at: str = "indexed_at") -> DataFrame:
