@@ -11,27 +11,24 @@ from graphloom.session import load, materialize, plain
 FIELDS = ["type", "description", "language", "source_hash"]
 
 
-def _claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    records = load(spark, d, "node_records")
-    claimed = materialize(survivors.claims(records, FIELDS))
-    weight = survivors.reliabilities(claimed)
-    return survivors.surviving_values(claimed, load(spark, d, "merge_conflicts"), weight), survivors.group_sizes(records)
-
-
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    values, sizes = _claims(spark, d)
-    groups = sizes.where("n_records > 1").select("gid")
+    """By precedence, which TESTDATA.md fixes and votes cannot give; p2_survivors chooses by truth discovery."""
+    records = load(spark, d, "node_records")
+    groups = survivors.group_sizes(records).where("n_records > 1").select("gid")
+    values = survivors.surviving_values(survivors.claims(records, FIELDS), load(spark, d, "merge_conflicts"))
     return values.join(groups, "gid", "left_semi").select(F.col("gid").alias("node_id"), "field", "record_id")
 
 
 def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
-    values, sizes = _claims(spark, d)
-    return survivors.surviving_records(values, sizes, FIELDS)
+    records = load(spark, d, "node_records")
+    claimed = materialize(survivors.claims(records, FIELDS))
+    values = survivors.surviving_values(claimed, load(spark, d, "merge_conflicts"), survivors.reliabilities(claimed))
+    return survivors.surviving_records(values, survivors.group_sizes(records), FIELDS)
 
 
 def p2_reliability(spark: SparkSession, d: str) -> DataFrame:
     weight = survivors.reliabilities(survivors.claims(load(spark, d, "node_records"), FIELDS))
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in sorted(weight.items())], "source string, reliability double")
+    return weight.select("source", F.round("reliability", 6).alias("reliability"), "n_claims")
 
 
 def _located(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

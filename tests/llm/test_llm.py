@@ -1,4 +1,5 @@
 import ast
+import math
 import random
 import re
 import warnings
@@ -41,10 +42,34 @@ def test_reliability_finds_the_liar(spark):
     rng = random.Random(1)
     claims = [(f"n{n}", s, f"v{rng.randrange(9)}" if s == "liar" else "true", s) for n in range(60) for s in ("a", "b", "liar")]
     c = spark.createDataFrame(claims, "gid string, field string, value string, source string").withColumn("field", F.lit("type"))
-    w = survivors.reliabilities(c)
+    w = {r.source: r.reliability for r in survivors.reliabilities(c).collect()}
     assert w["liar"] < 0.3 < 0.9 < w["a"]
 
 
+def test_votes_decide_the_survivor(spark, tables):
+    """Three careless sources outnumber two careful ones; the survivors follow the careful, against plain majority and precedence. Reliabilities
+    are those of the same alternation in plain Python."""
+    rng = random.Random(8)
+    origins = {"careful1": 0.02, "careful2": 0.02, "careless1": 0.42, "careless2": 0.42, "careless3": 0.42}
+    truth = {f"n{n:03}": rng.choice(["Class", "Endpoint"]) for n in range(300)}
+    claim = {(n, o): (t if rng.random() > bad else "Event") for n, t in truth.items() for o, bad in origins.items()}
+    recs = [record(k, n, v, prov="human" if o.startswith("careless") else "import", origin=o) for k, ((n, o), v) in enumerate(claim.items())]
+    d = tables(node_records=(recs, RECORDS), merge_conflicts=([("n000", "type", None, claim["n000", "careless1"], "use_incoming", T, "x")], DECISIONS))
+    got = {r.node_id: r.type for r in q.p2_survivors(spark, d).collect()}
+    right = sum(got[n] == t for n, t in truth.items() if n != "n000")
+    by_count = sum(max(("Event", t), key=lambda v: [claim[n, o] for o in origins].count(v)) == t for n, t in truth.items())
+    assert right >= 0.98 * 299 > by_count + 20 and got["n000"] == claim["n000", "careless1"]
+    w = dict.fromkeys(origins, 0.5)
+    for _ in range(50):
+        best = {n: min({claim[n, o] for o in origins}, key=lambda v: (-round(sum(-math.log1p(-w[o]) for o in origins if claim[n, o] == v), 9), v)) for n in truth}
+        new = {o: (w[o] + (sum(claim[n, o] == best[n] for n in truth) + 1) / (len(truth) + 2)) / 2 for o in origins}
+        most = max(abs(new[o] - w[o]) for o in origins)
+        w = new
+        if most < 0.0025:
+            break
+    assert {r.source.split("/")[0]: round(r.reliability, 5) for r in q.p2_reliability(spark, d).collect()} == {o: round(x, 5) for o, x in w.items()}
+
+
 NODES = "id string, location struct<file_path: string, start_line: int, end_line: int>, path string"
 FILES = "file_id long, project_id string, file_path string, text string, lens string, own string"
 
