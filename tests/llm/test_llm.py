@@ -224,21 +224,57 @@ def test_leaks_against_brute_force(spark, tables):
 
 
 def test_near_windows_miss_nothing():
+    """Every pair within the radius is met: brute force over random fingerprints with up to nine flipped bits."""
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300).astype(np.uint64)
     other = base.copy()
     for k in range(300):
-        for b in rng.choice(64, k % 5, replace=False):
+        for b in rng.choice(64, k % 10, replace=False):
             other[k] ^= np.uint64(1) << np.uint64(b)
-    order = np.arange(300)
-    lists = []
-    for b in range(leaks.BLOCKS):
-        v = ((base >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-        o = np.argsort(v, kind="stable")
-        lists.append((np.searchsorted(v[o], np.arange(65537)), o))
-    ix = leaks.Index(12, base, order, order, base, order, lists)
-    a, b = leaks.near_windows(ix, other)
-    assert {(x, y) for x, y in zip(a.tolist(), b.tolist()) if x == y} == {(k, k) for k in range(300) if k % 5 <= leaks.RADIUS}
+    got = leaks.near_windows(leaks.near_index(34, base, np.arange(300), np.zeros(300, int)), other)
+    want = {(i, j) for i in range(300) for j in range(300) if int(other[i] ^ base[j]).bit_count() <= leaks.RADIUS}
+    assert set(zip(*(x.tolist() for x in got))) == want and len(want) >= 230
+
+
+def test_edited_items(spark, tables):
+    """Items with words replaced every so often, so that no twelve in a row stay: the radius finds what brute force calls similar."""
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [(i, "s", " ".join(rng.choices(vocab, k=rng.randrange(40, 130))), 0) for i in range(60)]
+    docs, want = [], set()
+    for k in range(800):
+        i = rng.randrange(60)
+        own = items[i][2].split()
+        for at in range(rng.randrange(5, 12), len(own), rng.choice([11, 40, 60])):
+            own[at] = rng.choice(vocab)
+        docs.append(doc(k, " ".join(rng.choices(vocab, k=rng.randrange(100))) + ". " + " ".join(own) + " - " + " ".join(rng.choices(vocab, k=50))))
+        if leaks.weighted_similarity(*(leaks.words([x])[0] for x in (items[i][2], " ".join(own)))) >= leaks.SIMILAR:
+            want.add((k, i))
+    d = tables(documents=(docs, DOCS), eval_items=(items, ITEMS))
+    got = {(r.doc_id, r.item_id): r.similarity for r in q.p8_leaks(spark, d).collect()}
+    assert len(want) > 100 and sum(got.get(w, 0) >= leaks.SIMILAR for w in want) >= 0.9 * len(want)
+    assert all(i in {w[1] for w in want} or got[k, i] < leaks.SIMILAR for k, i in got)
+
+
+def test_fingerprints_against_brute_force():
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 2**63, 90).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 90).astype(np.uint64)
+    bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    for size in (1, 2, 3, 12, 13, 31, 64):
+        want = [sum(1 << b for b in range(64) if bits[i : i + size, b].sum() * 2 > size) for i in range(90 - size + 1)]
+        assert leaks.simhashes(h, size).tolist() == want
+
+
+def test_words(monkeypatch):
+    texts = ["Hello, World! ab1 \xc4\xd6\xdc x", "", "\u017f \u212a \u0130stanbul foo\ud800bar", "a" * 50, "z z z"]
+    known = {}
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(leaks, "PIECE", piece)
+        h, begin = leaks.words(texts)
+        for t, x, y in zip(texts, begin, begin[1:]):
+            found = leaks.WORD.findall(t.lower())
+            assert len(found) == y - x and all(known.setdefault(w, v) == v for w, v in zip(found, h[x:y].tolist()))
+    assert len(set(known.values())) == len(known)
 
 
 def test_shared_spans_against_brute_force(spark, tables):
