@@ -30,8 +30,8 @@ def dangling_issues(g: Graph) -> DataFrame:
 
 def constraint_issues(g: Graph) -> DataFrame:
     """Up to two warnings an edge: an end whose type the edge type does not allow. Edge types the ontology lacks and missing ends are none."""
-    allowed = lambda k: schema.lookup("type", {t: "," + c[k].replace(" ", ",") + "," for t, c in schema.CONSTRAINTS.items()})
-    off = lambda c, k: F.coalesce(~F.contains(allowed(k), F.concat(F.lit(","), c, F.lit(","))), F.lit(False))
+    allowed = lambda k: F.create_map(*[x for t, c in schema.CONSTRAINTS.items() for x in (F.lit(t), F.array(*map(F.lit, c[k])))])[F.col("type")]
+    off = lambda c, k: F.coalesce(~F.array_contains(allowed(k), F.col(c)), F.lit(False))
     key = F.concat("source_id", F.lit("->"), "target_id", F.lit(":"), "type")
     bad = F.array(F.when(off("source_type", 0), F.concat(F.lit("source "), "source_type")), F.when(off("target_type", 1), F.concat(F.lit("target "), "target_type")))
     return g.typed_ends().select(key.alias("subject"), F.explode(F.filter(bad, lambda x: x.isNotNull())).alias("detail")).select(F.lit("warning").alias("severity"), F.lit("constraint").alias("category"), "subject", "detail")

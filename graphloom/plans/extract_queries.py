@@ -94,7 +94,7 @@ def file_models(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TAGS = sql_values([(i, k, t) for i, (k, t) in enumerate(extract.TAG_RULES.items())])
-_CATS = "CASE type " + " ".join(f"WHEN '{t}' THEN '{c}'" for c, ts in extract.CATEGORIES.items() for t in ts.split()) + " ELSE 'other' END"
+_CATS = "CASE type " + " ".join(f"WHEN '{t}' THEN '{c}'" for t, c in extract.CATEGORIES.items()) + " ELSE 'other' END"
 
 
 @query(f""", tr(i, k, t) AS (VALUES {_TAGS}), hit AS (SELECT id, t, min(i) AS i FROM n JOIN tr ON contains(lower(concat_ws(' ', name, location.file_path)), k) GROUP BY id, t), ag AS (SELECT id, list(t ORDER BY i) AS c FROM hit GROUP BY id)

@@ -14,7 +14,7 @@ from graphloom.session import load, plain
 R = Registry()
 query = R.query
 _KEY = "source_id || '->' || target_id || ':' || type"
-_CON = ", con(type, src, tgt) AS (VALUES " + schema.sql_values([(t, f" {a} ", f" {b} ") for t, (a, b) in schema.CONSTRAINTS.items()]) + ")"
+_CON = ", con(type, src, tgt) AS (VALUES " + schema.sql_values([(t, f" {' '.join(a)} ", f" {' '.join(b)} ") for t, (a, b) in schema.CONSTRAINTS.items()]) + ")"
 _PAIR = ", pr(i, type) AS (VALUES " + schema.sql_values([(i, t) for i, ab in enumerate(schema.PAIRS) for t in ab]) + ")"
 _ORPHAN = "SELECT 'warning' AS severity, 'orphan' AS category, id AS subject, 'no edges' AS detail FROM n WHERE type NOT IN ('Workspace', 'Project') AND id NOT IN (SELECT source_id FROM e) AND id NOT IN (SELECT target_id FROM e)"
 _DANGLING = f"SELECT 'error' AS severity, 'dangling' AS category, {_KEY} AS subject, 'no source' AS detail FROM e WHERE source_id NOT IN (SELECT id FROM n) UNION ALL SELECT 'error', 'dangling', {_KEY}, 'no target' FROM e WHERE target_id NOT IN (SELECT id FROM n)"

@@ -27,34 +27,34 @@ EDGE_TYPES = [t for ts in EDGE_GROUPS.values() for t in ts]
 STRUCTURAL = EDGE_GROUPS["structural"]
 #: The types an edge may start from and end at.
 CONSTRAINTS = {
-    "CONTAINS": ("Workspace Project Service Module Router", "Project Service Module File Endpoint Function AsyncHandler DataModel Event Middleware TypeDef CacheKey EnvVar Router Collection Queue InfraConfig Resource"),
-    "DEFINES": ("File", "Endpoint Function DataModel TypeDef Middleware AsyncHandler Event CacheKey EnvVar Router Collection"),
-    "IMPORTS": ("File Module", "File Module"),
-    "IMPLEMENTS": ("DataModel Function TypeDef", "TypeDef"),
-    "INHERITS": ("DataModel TypeDef", "DataModel TypeDef"),
-    "READS_DB": ("Function Endpoint AsyncHandler", "Collection"),
-    "WRITES_DB": ("Function Endpoint AsyncHandler", "Collection"),
-    "MIGRATES": ("Function", "Collection"),
-    "CALLS_API": ("Function Service Endpoint", "ExternalAPI"),
-    "CALLS_SERVICE": ("Service Function Endpoint", "Service"),
-    "CALLS": ("Function Endpoint AsyncHandler Middleware", "Function"),
-    "WEBHOOK_SEND": ("Service Function", "ExternalAPI"),
-    "WEBHOOK_RECEIVE": ("Endpoint", "ExternalAPI"),
-    "EMITS_EVENT": ("Function Service Endpoint", "Event"),
-    "CONSUMES_EVENT": ("AsyncHandler", "Event"),
-    "ENQUEUES": ("Function Endpoint AsyncHandler", "Queue"),
-    "DEQUEUES": ("AsyncHandler", "Queue"),
-    "SCHEDULES": ("InfraConfig Function", "AsyncHandler"),
-    "CACHE_READ": ("Function Endpoint Middleware", "CacheKey"),
-    "CACHE_WRITE": ("Function Endpoint Middleware", "CacheKey"),
-    "ROUTES_TO": ("Router", "Endpoint Router"),
-    "INTERCEPTS": ("Middleware", "Endpoint Router Service"),
-    "VALIDATES": ("Middleware Function", "DataModel TypeDef"),
-    "AUTHENTICATES": ("Middleware", "Endpoint Router Service"),
-    "DEPENDS_ON": ("Service Project", "Resource Queue ExternalAPI"),
-    "DEPLOYED_BY": ("Service", "InfraConfig"),
-    "CONFIGURES": ("EnvVar InfraConfig", "Service Resource Function ExternalAPI Queue"),
-    "TESTS": ("Function", "Function Endpoint DataModel Middleware AsyncHandler"),
+    "CONTAINS": (["Workspace", "Project", "Service", "Module", "Router"], ["Project", "Service", "Module", "File", "Endpoint", "Function", "AsyncHandler", "DataModel", "Event", "Middleware", "TypeDef", "CacheKey", "EnvVar", "Router", "Collection", "Queue", "InfraConfig", "Resource"]),
+    "DEFINES": (["File"], ["Endpoint", "Function", "DataModel", "TypeDef", "Middleware", "AsyncHandler", "Event", "CacheKey", "EnvVar", "Router", "Collection"]),
+    "IMPORTS": (["File", "Module"], ["File", "Module"]),
+    "IMPLEMENTS": (["DataModel", "Function", "TypeDef"], ["TypeDef"]),
+    "INHERITS": (["DataModel", "TypeDef"], ["DataModel", "TypeDef"]),
+    "READS_DB": (["Function", "Endpoint", "AsyncHandler"], ["Collection"]),
+    "WRITES_DB": (["Function", "Endpoint", "AsyncHandler"], ["Collection"]),
+    "MIGRATES": (["Function"], ["Collection"]),
+    "CALLS_API": (["Function", "Service", "Endpoint"], ["ExternalAPI"]),
+    "CALLS_SERVICE": (["Service", "Function", "Endpoint"], ["Service"]),
+    "CALLS": (["Function", "Endpoint", "AsyncHandler", "Middleware"], ["Function"]),
+    "WEBHOOK_SEND": (["Service", "Function"], ["ExternalAPI"]),
+    "WEBHOOK_RECEIVE": (["Endpoint"], ["ExternalAPI"]),
+    "EMITS_EVENT": (["Function", "Service", "Endpoint"], ["Event"]),
+    "CONSUMES_EVENT": (["AsyncHandler"], ["Event"]),
+    "ENQUEUES": (["Function", "Endpoint", "AsyncHandler"], ["Queue"]),
+    "DEQUEUES": (["AsyncHandler"], ["Queue"]),
+    "SCHEDULES": (["InfraConfig", "Function"], ["AsyncHandler"]),
+    "CACHE_READ": (["Function", "Endpoint", "Middleware"], ["CacheKey"]),
+    "CACHE_WRITE": (["Function", "Endpoint", "Middleware"], ["CacheKey"]),
+    "ROUTES_TO": (["Router"], ["Endpoint", "Router"]),
+    "INTERCEPTS": (["Middleware"], ["Endpoint", "Router", "Service"]),
+    "VALIDATES": (["Middleware", "Function"], ["DataModel", "TypeDef"]),
+    "AUTHENTICATES": (["Middleware"], ["Endpoint", "Router", "Service"]),
+    "DEPENDS_ON": (["Service", "Project"], ["Resource", "Queue", "ExternalAPI"]),
+    "DEPLOYED_BY": (["Service"], ["InfraConfig"]),
+    "CONFIGURES": (["EnvVar", "InfraConfig"], ["Service", "Resource", "Function", "ExternalAPI", "Queue"]),
+    "TESTS": (["Function"], ["Function", "Endpoint", "DataModel", "Middleware", "AsyncHandler"]),
 }
 #: Edge pairs of which one side without the other is worth a note.
 PAIRS = [("EMITS_EVENT", "CONSUMES_EVENT"), ("ENQUEUES", "DEQUEUES"), ("READS_DB", "WRITES_DB"), ("CACHE_READ", "CACHE_WRITE"), ("WEBHOOK_SEND", "WEBHOOK_RECEIVE")]
