@@ -127,10 +127,12 @@ class Script(Lexer):
     OPERAND = {"NAME", "NUMBER", "STRING", "TEMPLATE", "TTAIL", "REGEX", "PRIVATE", "')'", "']'", "'this'", "'super'", "'null'", "'true'", "'false'"}
     STRING_BODY = {q: re.compile(rf"(?:[^{q}\\\n]|\\(?:x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|u\{{[0-9a-fA-F]+\}}|0(?!\d)|[^xu0-9\n]))*") for q in "\"'"}
     TEMPLATE_BODY = re.compile(r"(?:[^`\\$]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\}|0(?!\d)|[^xu0-9])|\\$|\$(?!\{))*")
+    NAME = r"(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
     REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
 
     def pattern(self, ops: str) -> str:
-        return rf"""(?P<S>[ \t\f\v\xa0\ufeff]+)|(?P<LC>//.*)|(?P<BC>/\*)|(?P<Q>["'])|(?P<T>`)|(?P<NUMBER>(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:0|[1-9](?:_?\d)*)n|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?)(?![\w$]))|(?P<NAME>(?:[^\W\d]|\$)[\w$]*)|(?P<PRIVATE>\#(?:[^\W\d]|\$)[\w$]*)|(?P<OP>\?\.(?!\d)|{ops})|(?P<BAD>.)"""
+        ops = ops.replace(r"\?\.|", "", 1)  # it has a rule of its own: `a?.5:b` is no optional chain
+        return rf"""(?P<S>[ \t\f\v\xa0\ufeff]+)|(?P<LC>//.*)|(?P<BC>/\*)|(?P<Q>["'])|(?P<T>`)|(?P<NUMBER>(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:0|[1-9](?:_?\d)*)n|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?)(?![\w$]))|(?P<NAME>{self.NAME})|(?P<PRIVATE>\#{self.NAME})|(?P<OP>\?\.(?!\d)|{ops})|(?P<BAD>.)"""
 
     def scan(self, line: str, mode: tuple) -> tuple[tuple, tuple]:
         kind, stack, regex = mode
@@ -227,7 +229,7 @@ class Script(Lexer):
         return tuple(out), ("n", tuple(stack), regex)
 
 
-SOFT = {"of", "get", "set", "async", "from", "as", "type", "require", "namespace", "module", "declare", "global", "abstract", "asserts", "is", "keyof", "unique", "readonly", "infer", "satisfies", "override", "accessor", "out", "static"}
+SOFT = {"of", "get", "set", "async", "from", "as", "type", "require", "namespace", "module", "declare", "global", "abstract", "asserts", "is", "keyof", "unique", "readonly", "infer", "satisfies", "override", "accessor", "out", "static", "using"}
 
 
 PY_ESC = r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4}|N\{[^}\n]+\}|[^xuUN])"
@@ -240,11 +242,13 @@ def _body(raw: bool, q: str) -> re.Pattern:
 
 
 class Python(Lexer):
-    """mode: (kind, open brackets, continued by a backslash). Indentation is the caller's: see indent()."""
+    """mode: (kind, open brackets, continued by a backslash). kind is "n", or what a line's end has interrupted, from the outside in:
+    strings ("s", raw, quote), f-strings' text ("t", raw, quote), their expressions ("e", open brackets, quote) and format specifications
+    ("p", quote). Indentation is the caller's: see indent()."""
 
     start = ("n", 0, False)
     PREFIX = r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?"
-    ESC = PY_ESC
+    ESC = re.compile(PY_ESC, re.S)
     BODY = {(raw, q): _body(raw, q) for raw in (True, False) for q in ("'", '"', "'''", '"""')}
 
     def pattern(self, ops: str) -> str:
@@ -254,139 +258,87 @@ class Python(Lexer):
 
     def scan(self, line: str, mode: tuple) -> tuple[tuple, tuple]:
         kind, depth, _ = mode
-        out, pos, n = [], 0, len(line)
-        if kind != "n":
-            raw, q, fmt = kind
-            pos = self._text(line, 0, raw, q, fmt, out)
-            if pos < 0:
-                return tuple(out), (kind, depth, False) if pos == -1 else ("n", depth, False)
-        cont = False
-        while pos < n:
-            m = self.master.match(line, pos)
-            k, pos = m.lastgroup, m.end()
-            if k == "S":
-                continue
-            if k == "LC":
-                break
-            if k == "BS":
-                cont = True
-                break
-            text = m.group()
-            if k == "STR":
-                q = text[-3:] if text[-3:] in ("'''", '"""') else text[-1]
-                head = text[: -len(q)].lower()
-                fmt = "f" in head
-                raw = "r" in head
-                if fmt:
-                    out.append("FSTART")
-                start = pos
-                pos = self._text(line, pos, raw, q, fmt, out)
-                if pos == -1:
-                    return tuple(out), ((raw, q, fmt), depth, False)
-                if pos < 0:
-                    return tuple(out), ("n", depth, False)
-                if "b" in head and not line[start:pos].isascii():
-                    out.append("BAD")
+        frames, out, pos, n = [] if kind == "n" else list(kind), [], 0, len(line)
+        broken = lambda: ((*out, "BAD"), ("n", depth, False))
+        while True:
+            top = frames[-1] if frames else None
+            if top and top[0] == "s":
+                e = self.BODY[top[1], top[2]].match(line, pos).end()
+                if line.startswith(top[2], e):
+                    out.append("STRING")
+                    frames.pop()
+                    pos = e + len(top[2])
+                elif len(top[2]) == 3 and e >= n or line[e:] == "\\":
+                    return tuple(out), (tuple(frames), depth, False)
+                else:
+                    return broken()
                 continue
-            if k == "NUMBER" and self.OLD_OCTAL.match(text):
-                k = "BAD"
-            tok = self.known.get(text, k) if k in ("NAME", "OP") else k
-            out.append(tok)
-            if text in OPEN:
-                depth += 1
-            elif text in CLOSE:
-                depth = max(0, depth - 1)
-        return tuple(out), ("n", depth, cont)
-
-    def _text(self, line: str, pos: int, raw: bool, q: str, fmt: bool, out: list) -> int:
-        """The position after a string's end; -1 if it goes on in the next line, -2 if it is broken."""
-        if fmt:
-            return self._ftext(line, pos, raw, q, out)
-        e = self.BODY[raw, q].match(line, pos).end()
-        if line.startswith(q, e):
-            out.append("STRING")
-            return e + len(q)
-        if len(q) == 3 and e >= len(line) or line[e:] == "\\":
-            return -1
-        out.append("BAD")
-        return -2
-
-    def _ftext(self, line: str, pos: int, raw: bool, q: str, out: list) -> int:
-        n = len(line)
-        while pos < n:
-            if line.startswith(q, pos):
-                out.append("FEND")
-                return pos + len(q)
-            c = line[pos]
-            if c == "\\" and not raw:
-                m = re.compile(self.ESC, re.S).match(line, pos)
-                if not m:
-                    if pos == n - 1:
-                        return -1
-                    out.append("BAD")
-                    return -2
-                pos = m.end()
+            if top and top[0] in "tp":
+                raw, q = top[1:] if top[0] == "t" else (True, top[1])
+                if pos >= n:
+                    if len(q) == 3 or top[0] == "p":
+                        return tuple(out), (tuple(frames), depth, False)
+                    return broken()
+                c = line[pos]
+                if line.startswith(q, pos):
+                    if top[0] == "p":
+                        return broken()
+                    out.append("FEND")
+                    frames.pop()
+                    pos += len(q)
+                elif c == "{" and (top[0] == "p" or not line.startswith("{{", pos)):
+                    out.append("FEXPR")
+                    frames.append(("e", 0, q))
+                    pos += 1
+                elif c == "}" and top[0] == "p":
+                    frames.pop()
+                    pos += 1
+                elif c in "{}":
+                    if not line.startswith(c * 2, pos):
+                        return broken()
+                    pos += 2
+                elif c == "\\" and not raw:
+                    m = self.ESC.match(line, pos)
+                    if not m:
+                        return (tuple(out), (tuple(frames), depth, False)) if pos == n - 1 else broken()
+                    pos = m.end()
+                else:
+                    pos += 1
                 continue
-            if c in "{}":
-                if line.startswith(c * 2, pos):
+            if pos >= n:
+                return tuple(out), (tuple(frames) or "n", depth, False)
+            if top and top[1] == 0:  # an expression of an f-string, outside its own brackets
+                if line.startswith(("!r", "!s", "!a"), pos) and line[pos + 2 :].lstrip()[:1] in (":", "}"):
                     pos += 2
                     continue
-                if c == "}":
-                    out.append("BAD")
-                    return -2
-                pos = self._field(line, pos + 1, q, out)
-                if pos < 0:
-                    return pos
-                continue
-            pos += 1
-        if len(q) == 3:
-            return -1
-        out.append("BAD")
-        return -2
-
-    def _field(self, line: str, pos: int, q: str, out: list) -> int:
-        """A replacement field from after its `{`: tokens of the expression between FEXPR and FCLOSE."""
-        out.append("FEXPR")
-        depth, n = 0, len(line)
-        while pos < n:
-            if depth == 0 and line.startswith(("!r", "!s", "!a"), pos) and line[pos + 2 : pos + 3] in (":", "}"):
-                pos += 2
-            if depth == 0 and line[pos] in ":}":
-                out.append("FCLOSE")
-                if line[pos] == "}":
-                    return pos + 1
-                pos += 1
-                while pos < n and line[pos] != "}":
-                    if line.startswith(q, pos):
-                        out.append("BAD")
-                        return -2
-                    if line[pos] == "{":
-                        pos = self._field(line, pos + 1, q, out)
-                        if pos < 0:
-                            return pos
-                    else:
-                        pos += 1
-                if pos >= n:
-                    break
-                return pos + 1
+                if line[pos] in ":}":
+                    out.append("FCLOSE")
+                    frames[-1:] = [("p", top[2])] if line[pos] == ":" else []
+                    pos += 1
+                    continue
             m = self.master.match(line, pos)
-            k, text = m.lastgroup, m.group()
-            pos = m.end()
+            k, text, pos = m.lastgroup, m.group(), m.end()
             if k == "S":
                 continue
+            if k == "LC" or k == "BS":
+                return tuple(out), (tuple(frames) or "n", depth, k == "BS" and not frames)
             if k == "STR":
-                iq = text[-3:] if text[-3:] in ("'''", '"""') else text[-1]
-                head = text[: -len(iq)].lower()
+                q = text[-3:] if text[-3:] in ("'''", '"""') else text[-1]
+                head = text[: -len(q)].lower()
                 if "f" in head:
                     out.append("FSTART")
-                pos = self._text(line, pos, "r" in head, iq, "f" in head, out)
-                if pos < 0:
-                    return -2
+                elif "b" in head and not line[pos : self.BODY["r" in head, q].match(line, pos).end()].isascii():
+                    return broken()
+                frames.append(("t" if "f" in head else "s", "r" in head, q))
                 continue
-            out.append(self.known.get(text, k) if k in ("NAME", "OP") else "BAD" if k in ("LC", "BS") else k)
-            depth += (text in OPEN) - (text in CLOSE)
-        out.append("BAD")
-        return -2
+            if k == "NUMBER" and self.OLD_OCTAL.match(text):
+                k = "BAD"
+            out.append(self.known.get(text, k) if k in ("NAME", "OP") else k)
+            change = (text in OPEN) - (text in CLOSE)
+            if top:
+                frames[-1] = ("e", max(0, top[1] + change), top[2])
+            else:
+                depth = max(0, depth + change)
 
     @staticmethod
     def indent(line: str) -> tuple[int, int]:

@@ -111,6 +111,33 @@ INVALID = {
 }
 
 
+F_STRINGS = [
+    "f'''{f(\n a,  # note\n)}'''\n", "x = f'{\na}' + f\"{x!r:>{w}}{a['k']:{b}.{c}}{{}}\"\n", "y = f'{a + \\\nb}'\n", "z = f\"\"\"{'''q\nr'''} {x:\n}\"\"\"\n", "f'{x:%Y-%m}' f'{y=}' rf'\\d{z}'\n", "def f():\n    return f'{[\n  x for x in y\n]}'\n",
+    "f'{f\"{f'{1}'}\"}'\n", "f'{x:{y:{z}}}'\n", "f'{lambda: 1}'\n", "f'{a b}'\n", "f'{'\n", "f'{}'\n", "f'}'\n", "f'{a:\n}'\n", "'a\nb'\n", "f'{a\n", "f'{*a,}'\n", "f'{yield}'\n", "f'{x:=5}'\n", "f'{(x:=5)}'\n", "f'{a!z}'\n", "f'a\\\nb{c}'\n", "f\"{d[\"a\"]}\"\n",
+]
+
+
+def test_strings_that_hold_expressions():
+    """Line breaks, comments and strings inside the braces, as the interpreter's own parser sees them."""
+    p = parses.Parser("py")
+    for t in F_STRINGS:
+        try:
+            ast.parse(t)
+            ok = True
+        except SyntaxError:
+            ok = False
+        assert ok == (p.first_error(t) is None), t
+
+
+def test_newer_syntax():
+    good = {
+        "ts": ['const a = <const>["x"];', "class A<in out T> {}", "class A<out T, in U, const V extends X> {}", "function f() { using x = y(); }", "async function f() { await using x = y(), z = w(); }", "const using = 1; using.x;"],
+        "js": ["let \\u0061b = 1; \\u{62}c = a?.5:b", "x = a?.b ?? c?.[0]", "class A { #\\u0061 = 1 }", "x = a ? .5 : b"],
+    }
+    for ext, texts in good.items():
+        assert [t for t in texts if parses.Parser(ext).first_error(t)] == []
+
+
 @pytest.mark.parametrize("ext", sorted(VALID))
 def test_grammars(ext):
     p = parses.Parser(ext)
