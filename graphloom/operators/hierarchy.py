@@ -1,26 +1,32 @@
 """Parent links of unknown depth to full hierarchies, with cycles.
 
-Ids become integer codes in the order of the ids. Upward, leaves are taken off round by round and hand their subtree sizes to their
-parents: what is never taken off lies on a cycle. Siblings get preorder offsets by prefix sums of the sizes. Downward, each round gives
-the children of the last round their nested-set range. A node's descendants are then the rows whose `lo` lies in its range.
-A round moves only rows that are still open, and each round's outcome is a written table, so a lost executor costs one round.
+Ids become integer codes in the order of the ids. Upward, leaves are taken off layer by layer and hand their subtree sizes to their
+parents; once few nodes are left, one task does the rest of the layers at once: what is never taken off lies on a cycle. Siblings get
+preorder offsets by prefix sums of the sizes. Downward, that rest is given its nested-set ranges in one task, then each layer, the last
+first, from its parents. A node's descendants are then the rows whose `lo` lies in its range.
+
+Layers that leave many nodes open move only those, and each is a written table, so a lost executor costs one layer.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.session import discard, materialize, materialize_with
 
+#: So many open nodes fit one task.
+FEW = 100_000
 BLOCK_BITS = 16
 
 
 @dataclass
 class Forest:
-    """names: code, id, pcode, name. placed: code, lo, hi, depth, root_code, cycle (smallest code on the cycle it hangs from, or null)."""
+    """names: code, id, pcode, name. placed: code, lo, hi, depth, root_code, cycle (smallest code on the cycle it hangs from, or null), path."""
 
     names: DataFrame
     placed: DataFrame
@@ -36,28 +42,61 @@ def coded_links(nodes: DataFrame, id: Column, parent: Column, name: Column | Non
     return materialize(coded.join(parents, "parent", "left").select("code", "id", "pcode", "name"))
 
 
-def subtree_sizes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((code, pcode, size) of all nodes that are on no cycle, (code, pcode) of the nodes on cycles), leaves first."""
+def subtree_sizes(links: DataFrame, few: int = FEW) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """(layers of (code, pcode, name, size), leaves first; the same of the nodes done in one task; (code, cycle) of the nodes on cycles)."""
     counts = links.where("pcode is not null").groupBy("pcode").agg(F.count(F.lit(1)).alias("open"))
-    state = materialize(links.select("code", "pcode").join(counts.withColumnRenamed("pcode", "code"), "code", "left").select("code", "pcode", F.coalesce("open", F.lit(0)).alias("open"), F.lit(1).cast("long").alias("size")))
-    done = []
+    rest = links.join(counts.withColumnRenamed("pcode", "code"), "code", "left").select("code", "pcode", "name", F.coalesce("open", F.lit(0)).alias("open"), F.lit(1).cast("long").alias("size"))
+    layers: list[DataFrame] = []
     while True:
-        leaves = state.where("open = 0")
+        state, seen = materialize_with(rest, n=F.count(F.lit(1)), ready=F.count(F.when(F.col("open") == 0, 1)))
+        if seen["n"] <= few:
+            solved = materialize(state.select("code", "pcode", "name", "size").coalesce(1).mapInPandas(_take_off, "code long, pcode long, name string, size long, cycle long"))
+            return layers, solved.where("cycle is null").drop("cycle"), solved.where("cycle is not null").select("code", "cycle")
+        if not seen["ready"]:
+            return layers, state.limit(0).select("code", "pcode", "name", "size"), cycle_labels(state.select("code", "pcode"))
+        leaves = state.where("open = 0").select("code", "pcode", "name", "size")
+        layers.append(leaves)
         up = leaves.where("pcode is not null").groupBy("pcode").agg(F.sum("size").alias("more"), F.count(F.lit(1)).alias("less")).withColumnRenamed("pcode", "code")
         rest = state.where("open > 0").join(up, "code", "left")
-        rest = rest.select("code", "pcode", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
-        done.append(leaves)
-        state, seen = materialize_with(rest, ready=F.count(F.when(F.col("open") == 0, 1)))
-        if not seen["ready"]:
-            break
-    sized = done[0]
-    for d in done[1:]:
-        sized = sized.union(d)
-    return sized.select("code", "pcode", "size"), state.select("code", "pcode")
+        rest = rest.select("code", "pcode", "name", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+
+
+def _take_off(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sizes of the whole subtrees; cycle is the smallest code of the node's cycle, null off cycles."""
+    parts = list(batches)
+    if not parts:
+        return
+    t = pd.concat(parts, ignore_index=True)
+    codes, size = t["code"].tolist(), dict(zip(t["code"].tolist(), t["size"].tolist()))
+    parent = {c: int(p) for c, p in zip(codes, t["pcode"]) if not pd.isna(p)}
+    opened = dict.fromkeys(codes, 0)
+    for p in parent.values():
+        opened[p] += 1
+    todo, on_cycle = [c for c in codes if not opened[c]], set(codes)
+    while todo:
+        c = todo.pop()
+        on_cycle.discard(c)
+        p = parent.get(c)
+        if p is not None:
+            size[p] += size[c]
+            opened[p] -= 1
+            if not opened[p]:
+                todo.append(p)
+    label: dict[int, int] = {}
+    for c in on_cycle:
+        if c not in label:
+            ring, x = [c], parent[c]
+            while x != c:
+                ring.append(x)
+                x = parent[x]
+            label.update(dict.fromkeys(ring, min(ring)))
+    t["size"] = [size[c] for c in codes]
+    t["cycle"] = pd.array([label.get(c) for c in codes], dtype="Int64")
+    yield t
 
 
 def sibling_offsets(sized: DataFrame) -> DataFrame:
-    """(code, pcode, size, off): off = sizes of the earlier siblings. Siblings are cut into blocks of 65 536 neighbouring codes, so
+    """sized (code, pcode, size, ...) with off, the sizes of the earlier siblings. Siblings are cut into blocks of 65 536 neighbouring codes, so
     that no task sorts all children of one parent: a sum within the block and the sums of the blocks before it."""
     cut = sized.withColumn("block", F.shiftright("code", BLOCK_BITS))
     own = Window.partitionBy("pcode", "block").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,7 +105,7 @@ def sibling_offsets(sized: DataFrame) -> DataFrame:
     before = Window.partitionBy("pcode").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(F.col("pcode").alias("bp"), F.col("block").alias("bb"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     both = inner.join(blocks, F.col("pcode").eqNullSafe(F.col("bp")) & (F.col("block") == F.col("bb")))
-    return both.select("code", "pcode", "size", (F.col("inner") + F.col("base")).alias("off"))
+    return both.select(*sized.columns, (F.col("inner") + F.col("base")).alias("off"))
 
 
 def cycle_labels(ring: DataFrame) -> DataFrame:
@@ -84,34 +123,79 @@ def cycle_labels(ring: DataFrame) -> DataFrame:
             return state.select("code", F.col("m").alias("cycle"))
 
 
-def build_forest(nodes: DataFrame, id: Column, parent: Column, name: Column | None = None) -> Forest:
-    """Ranges, depths, roots and cycles of all nodes.
+def build_forest(nodes: DataFrame, id: Column, parent: Column, name: Column | None = None, paths: bool = False, few: int = FEW) -> Forest:
+    """Ranges, depths, roots and cycles of all nodes, and with paths their names from the root down, joined with `/`.
 
     A node whose parent is null, blank or unknown is a root (depth 0). The nodes on a cycle have depth 0 and no range of their own; the
-    nodes below a cycle count their depth from it and carry its label. An empty table gives an empty forest."""
+    nodes below a cycle count their depth from it and carry its label; neither have a path. An empty table gives an empty forest."""
     names = coded_links(nodes, id, parent, name)
-    sized, ring = subtree_sizes(names)
-    offs = materialize(sibling_offsets(sized))
-    on_cycle = cycle_labels(ring) if not ring.isEmpty() else ring.select("code", F.col("pcode").alias("cycle"))
-    null = F.lit(None).cast("long")
-    roots = offs.where("pcode is null").select("code", F.col("off").alias("lo"), (F.col("off") + F.col("size") - 1).alias("hi"), F.lit(0).alias("depth"), F.col("code").alias("root_code"), null.alias("cycle"))
-    rings = on_cycle.select("code", null.alias("lo"), null.alias("hi"), F.lit(0).alias("depth"), null.alias("root_code"), "cycle")
-    front = materialize(roots.union(rings))
-    rest, levels = offs.where("pcode is not null"), [front]
-    while True:
-        up = front.select(F.col("code").alias("pcode"), F.col("lo").alias("plo"), "depth", "root_code", "cycle")
-        placing, seen = materialize_with(rest.join(up, "pcode", "left").withColumn("hit", F.col("depth").isNotNull()), left=F.count(F.when(~F.col("hit"), 1)))
-        hit = placing.where("hit")
-        lo = F.col("plo") + 1 + F.col("off")
-        front = hit.select("code", lo.alias("lo"), (lo + F.col("size") - 1).alias("hi"), (F.col("depth") + 1).alias("depth"), "root_code", "cycle")
-        levels.append(front)
-        rest = placing.where("not hit").select("code", "pcode", "size", "off")
-        if not seen["left"]:
-            break
-    placed = levels[0]
-    for x in levels[1:]:
-        placed = placed.union(x)
-    return Forest(names, placed)
+    layers, top, ring = subtree_sizes(names if paths else names.withColumn("name", F.lit(None).cast("string")), few)
+    last = len(layers)
+    sized = top.withColumn("layer", F.lit(last))
+    for k, x in enumerate(layers):
+        sized = sized.unionByName(x.withColumn("layer", F.lit(k)))
+    offs = materialize(sibling_offsets(sized), by=["layer"])
+    null = F.lit(None)
+    rings = ring.select("code", null.cast("long").alias("pcode"), null.cast("string").alias("name"), null.cast("long").alias("size"), null.cast("long").alias("off"), "cycle")
+    at_top = offs.where(F.col("layer") == last).select("code", "pcode", "name", "size", "off", null.cast("long").alias("cycle"))
+    columns = "code long, lo long, hi long, depth int, root_code long, cycle long, path string"
+    if top.isEmpty():  # the rest are cycles alone, however many
+        placed = [rings.select("code", null.cast("long").alias("lo"), null.cast("long").alias("hi"), F.lit(0).alias("depth"), null.cast("long").alias("root_code"), "cycle", null.cast("string").alias("path"))]
+    else:
+        placed = [materialize(at_top.unionByName(rings).coalesce(1).mapInPandas(_place, columns))]
+    for k in reversed(range(last)):
+        up = placed[0]
+        for x in placed[1:]:
+            up = up.unionByName(x)
+        up = up.select(F.col("code").alias("pcode"), F.col("lo").alias("plo"), F.col("depth").alias("pdepth"), F.col("root_code").alias("proot"), "cycle", F.col("path").alias("ppath"))
+        here = offs.where(F.col("layer") == k).join(up, "pcode", "left")
+        root = F.col("pcode").isNull()
+        lo = F.when(root, F.col("off")).otherwise(F.col("plo") + 1 + F.col("off"))
+        path = F.when(root, F.col("name")).otherwise(F.concat("ppath", F.lit("/"), "name"))
+        here = here.select("code", lo.alias("lo"), (lo + F.col("size") - 1).alias("hi"), F.when(root, F.lit(0)).otherwise(F.col("pdepth") + 1).alias("depth"), F.when(root, F.col("code")).otherwise(F.col("proot")).alias("root_code"), "cycle", path.alias("path"))
+        placed.append(materialize(here))
+    out = placed[0]
+    for x in placed[1:]:
+        out = out.unionByName(x)
+    return Forest(names, out)
+
+
+def _place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Nodes and cycles from the top down; rows come out in pieces, parents first."""
+    parts = list(batches)
+    if not parts:
+        return
+    t = pd.concat(parts, ignore_index=True)
+    below: dict[int, list[int]] = {}
+    front = []
+    whole = lambda v: None if pd.isna(v) else int(v)
+    rows = {c: (whole(p), None if pd.isna(n) else n, whole(z), whole(o), whole(y)) for c, p, n, z, o, y in zip(*(t[x].tolist() for x in ("code", "pcode", "name", "size", "off", "cycle")))}
+    for c, (p, *_) in rows.items():
+        if p is None:
+            front.append(c)
+        else:
+            below.setdefault(p, []).append(c)
+    done: dict[int, tuple] = {}
+    out = []
+    while front:
+        following = []
+        for c in front:
+            p, name, size, off, cycle = rows[c]
+            if p is None:
+                got = (None, 0, None, cycle, None) if cycle is not None else (off, 0, c, None, name)
+            else:
+                plo, depth, root, cycle, path = done[p]
+                got = (None if plo is None else plo + 1 + off, depth + 1, root, cycle, None if path is None or name is None else f"{path}/{name}")
+            lo = got[0]
+            out.append((c, lo, None if lo is None else lo + size - 1, got[1], got[2], got[3], got[4]))
+            if c in below:
+                done[c] = got
+                following += below[c]
+        front = following
+        if len(out) > 10_000 or not front:
+            f = pd.DataFrame(out, columns=["code", "lo", "hi", "depth", "root_code", "cycle", "path"])
+            yield f.astype({x: "Int64" for x in ("lo", "hi", "root_code", "cycle")})
+            out = []
 
 
 def cyclic_nodes(forest: Forest) -> DataFrame:
@@ -123,22 +207,11 @@ def cyclic_nodes(forest: Forest) -> DataFrame:
 
 
 def hierarchy_table(forest: Forest) -> DataFrame:
-    """(id, depth, root_id, path, lo, hi, n_descendants) of the nodes that reach a root. path joins the names from the root down with
-    `/`, and is made by walking down level by level, each level being one join with the level above."""
-    names = forest.names.select("code", "id", "pcode", "name")
-    reach = materialize(forest.placed.where("cycle is null").join(names, "code").select("code", "pcode", "id", "name", "depth", "root_code", "lo", "hi"))
-    deepest = reach.agg(F.max("depth")).first()[0]
-    level = reach.where("depth = 0").withColumn("path", F.col("name"))
-    out = [level]
-    for d in range(1, (deepest or 0) + 1):
-        up = out[-1].select(F.col("code").alias("pcode"), F.col("path").alias("up"))
-        level = materialize(reach.where(F.col("depth") == d).join(up, "pcode").withColumn("path", F.concat_ws("/", "up", "name")).drop("up").select(*out[0].columns))
-        out.append(level)
-    all_levels = out[0]
-    for x in out[1:]:
-        all_levels = all_levels.union(x)
-    roots = forest.names.select(F.col("code").alias("root_code"), F.col("id").alias("root_id"))
-    return all_levels.join(roots, "root_code").select("id", "depth", "root_id", "path", "lo", "hi", (F.col("hi") - F.col("lo")).alias("n_descendants"))
+    """(id, depth, root_id, path, lo, hi, n_descendants) of the nodes that reach a root; path is null where the forest has none."""
+    ids = forest.names.select("code", "id")
+    roots = ids.select(F.col("code").alias("root_code"), F.col("id").alias("root_id"))
+    reach = forest.placed.where("cycle is null").join(ids, "code").join(roots, "root_code")
+    return reach.select("id", "depth", "root_id", "path", "lo", "hi", (F.col("hi") - F.col("lo")).alias("n_descendants"))
 
 
 def descendants(forest: Forest, of: DataFrame | None = None) -> DataFrame:

@@ -17,8 +17,8 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(load(spark, d, "graph_nodes"), load(spark, d, "graph_edges"), plain)
 
 
-def forest(spark: SparkSession, d: str) -> hierarchy.Forest:
-    return hierarchy.build_forest(load(spark, d, "graph_nodes"), plain("id"), plain("parent_id"), F.col("name"))
+def forest(spark: SparkSession, d: str, paths: bool = False) -> hierarchy.Forest:
+    return hierarchy.build_forest(load(spark, d, "graph_nodes"), plain("id"), plain("parent_id"), F.col("name"), paths)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.hierarchy_table(forest(spark, d))
+    return hierarchy.hierarchy_table(forest(spark, d, paths=True))
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:

@@ -62,13 +62,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, cut: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, cut: int | None = None, by: list[str] | None = None) -> DataFrame:
     """df as a written table in the shared folder: lineage ends there and a lost executor costs nothing.
-    It goes with the session's other tables when the driver exits, or earlier through discard()."""
+    `by` columns become folders, so that a filter on them reads no other rows. It goes with the session's other tables when the driver
+    exits, or earlier through discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
     _register(spark, path)
-    (df.coalesce(cut) if cut else df).write.parquet(path)
+    (df.coalesce(cut) if cut else df).write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
     return out

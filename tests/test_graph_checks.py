@@ -107,10 +107,28 @@ def test_hierarchy_edge_cases(spark, tables):
 
 def test_deep_chain_and_many_siblings(spark):
     n = spark.createDataFrame([(f"c{k:03}", f"c{k - 1:03}" if k else None) for k in range(25)] + [(f"s{k:05}", "c000") for k in range(3000)], "id string, p string")
+    for few in (hierarchy.FEW, 10):
+        f = hierarchy.build_forest(n, F.col("id"), F.col("p"), paths=True, few=few)
+        t = {r.id: r for r in hierarchy.hierarchy_table(f).collect()}
+        assert t["c024"].depth == 24 and t["c000"].n_descendants == 3024 and t["s00000"].lo == 25 and t["c002"].path == "c000/c001/c002"
+        assert hierarchy.descendants(f, spark.createDataFrame([("c015",)], "id string")).count() == 9
+
+
+def test_long_chain(spark):
+    n = spark.range(10_000).select(F.format_string("c%05d", "id").alias("id"), F.when(F.col("id") > 0, F.format_string("c%05d", F.col("id") - 1)).alias("p"))
     f = hierarchy.build_forest(n, F.col("id"), F.col("p"))
-    t = {r.id: r for r in hierarchy.hierarchy_table(f).collect()}
-    assert t["c024"].depth == 24 and t["c000"].n_descendants == 3024 and t["s00000"].lo == 25
-    assert hierarchy.descendants(f, spark.createDataFrame([("c015",)], "id string")).count() == 9
+    assert hierarchy.hierarchy_table(f).agg(F.max("depth"), F.sum("n_descendants")).first() == (9999, 9999 * 5000)
+
+
+def test_layers_and_one_task_agree(spark, tables):
+    import random
+
+    rng = random.Random(11)
+    pairs = {f"n{k:03}": rng.choice([None, *(f"n{x:03}" for x in range(200))]) for k in range(200)}
+    n = spark.createDataFrame([(k, p) for k, p in pairs.items()], "id string, p string")
+    whole = [hierarchy.build_forest(n, F.col("id"), F.col("p"), paths=True, few=few) for few in (1000, 40, 0)]
+    assert len({tuple(map(str, rows(hierarchy.hierarchy_table(f)))) for f in whole}) == 1
+    assert all({tuple(r) for r in hierarchy.cyclic_nodes(f).collect()} == brute_cycles(pairs) for f in whole)
 
 
 def snap(no, i, type="File", name="n", parent=None, lang=None, h=None, at=0):
