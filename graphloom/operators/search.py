@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from graphloom import schema
 from graphloom.graph import top_by
 from graphloom.session import materialize
 
@@ -31,45 +34,62 @@ def node_text() -> Column:
     return F.concat_ws(" ", F.coalesce("name", F.lit("")), "description", F.array_join("tags", " "), *keys)
 
 
-def postings(items: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, tf, length): an inverted index as a table; items without terms are not in it. Terms are counted within a row, before
-    any shuffle."""
-    t = items.select(key, tokens(text).alias("_t")).withColumn("length", F.size("_t")).where("length > 0")
-    return t.select(key, "length", F.explode("_t").alias("term")).groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def query_terms(df: DataFrame, query: str) -> DataFrame:
-    """(term, n): the words of a query, a handful of rows."""
-    q = df.sparkSession.createDataFrame([(query,)], "q string")
-    return q.select(F.explode(tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-
-
-def tfidf(index: DataFrame, key: str, query: str, limit: int = 10) -> DataFrame:
-    """(key, score): cosine of tf-idf vectors, tf = 1 + ln(count), idf = ln((N+1)/(df+1)) + 1; only scores above 0."""
-    n = index.select(key).distinct().agg(F.count(F.lit(1)).alias("n_docs"))
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    w = index.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    q = query_terms(index, query).join(idf, "term").select("term", ((1 + F.log("n")) * F.col("idf")).alias("qw"))
+@dataclass
+class TextIndex:
+    """A persisted inverted index: postings (key, term, tf, length), in files sorted by term so that a query's terms read few row groups,
+    terms (term, df), and how many items there are and how many terms they have. Built once, asked often."""
+
+    key: str
+    postings: DataFrame
+    terms: DataFrame
+    n_items: int
+    n_terms: int
+
+    @staticmethod
+    def build(items: DataFrame, key: str, text: Column) -> TextIndex:
+        """Texts are taken apart once; sizes are observed while the postings are written. Items without terms are not in it."""
+        seen = Observation()
+        t = items.select(key, tokens(text).alias("_t")).withColumn("length", F.size("_t")).where("length > 0")
+        t = t.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("length").alias("terms")).select(key, "length", F.explode("_t").alias("term"))
+        written = materialize(t.groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf")).sortWithinPartitions("term"))
+        terms = materialize(written.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+        got = seen.get if not items.isEmpty() else {}
+        return TextIndex(key, written, terms, got.get("n") or 0, got.get("terms") or 0)
+
+    def asked(self, query: str) -> dict[str, int]:
+        """The words of a query, and how often it has each."""
+        q = self.terms.sparkSession.createDataFrame([(query,)], "q string").select(tokens(F.col("q")).alias("t")).first()["t"]
+        return {w: q.count(w) for w in q}
+
+
+def tfidf(index: TextIndex, query: str, limit: int = 10) -> DataFrame:
+    """(key, score): cosine of tf-idf vectors, tf = 1 + ln(count), idf = ln((N+1)/(df+1)) + 1; only scores above 0. Only the items that hold
+    a word of the query are weighed."""
+    asked, key = index.asked(query), index.key
+    idf = index.terms.select("term", (F.log(F.lit(index.n_items + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    known = {r["term"]: r["idf"] for r in idf.where(F.col("term").isin(list(asked))).collect()}
+    weight = {w: (1 + math.log(asked[w])) * i for w, i in known.items()}
+    hits = index.postings.where(F.col("term").isin(list(known)))
+    qw = schema.lookup("term", {w: weight[w] * known[w] for w in known}) if known else F.lit(None).cast("double")
+    dot = hits.groupBy(key).agg(F.sum((1 + F.log("tf")) * qw).alias("dot"))
+    w = index.postings.join(dot.select(key), key, "left_semi").join(idf, "term").select(key, ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    qn = q.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dot = w.join(F.broadcast(q), "term").groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    s = dot.join(norm, key).crossJoin(F.broadcast(qn)).select(key, F.round(F.col("dot") / (F.col("norm") * F.col("qn")), 6).alias("score"))
+    qn = math.sqrt(sum(x * x for x in weight.values()))
+    s = dot.join(norm, key).select(key, F.round(F.col("dot") / (F.col("norm") * qn), 6).alias("score"))
     return top_by(s.where("score > 0"), limit, F.desc("score"), F.asc(key))
 
 
-def bm25(index: DataFrame, key: str, query: str, limit: int = 10) -> DataFrame:
+def bm25(index: TextIndex, query: str, limit: int = 10) -> DataFrame:
     """(key, score): Okapi BM25; a term in most items gets a quarter of the mean idf instead of a negative one. Only scores above 0."""
-    docs = index.select(key, "length").distinct().agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"))
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs))
-    raw = df.select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    q = query_terms(index, query)
-    idf = raw.join(F.broadcast(q), "term").crossJoin(F.broadcast(mean)).select("term", "n", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    hit = index.join(F.broadcast(idf), "term").crossJoin(F.broadcast(docs))
-    part = F.col("n") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    s = hit.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
-    return top_by(s.where("score > 0"), limit, F.desc("score"), F.asc(key))
+    asked, n = index.asked(query), index.n_items
+    raw = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    mean_idf = index.terms.agg(F.avg(raw)).first()[0]
+    known = {r["term"]: r["idf"] for r in index.terms.where(F.col("term").isin(list(asked))).select("term", raw.alias("idf")).collect()}
+    idf = {w: asked[w] * (FLOOR * mean_idf if i < 0 else i) for w, i in known.items()}
+    hits = index.postings.where(F.col("term").isin(list(idf)))
+    part = (schema.lookup("term", idf) if idf else F.lit(None).cast("double")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (index.n_terms / max(1, n))))
+    s = hits.groupBy(index.key).agg(F.round(F.sum(part), 6).alias("score"))
+    return top_by(s.where("score > 0"), limit, F.desc("score"), F.asc(index.key))
 
 
 def cosine_top(vectors: DataFrame, key: str, vector: str, query: list[float], limit: int = 10, least: float = 0.1) -> DataFrame:

@@ -28,8 +28,8 @@ _BM25 = f"""{_INDEX}, dl AS (SELECT avg(length) AS mean FROM (SELECT DISTINCT do
 bi AS (SELECT term, n, CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END AS idf FROM raw JOIN qt USING (term), mi), bm AS (SELECT doc_id, round(sum(n * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score FROM p JOIN bi USING (term), dl GROUP BY 1)"""
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return search.postings(load(spark, d, "documents"), "doc_id", F.col("text"))
+def _docs(spark: SparkSession, d: str) -> search.TextIndex:
+    return search.TextIndex.build(load(spark, d, "documents"), "doc_id", F.col("text"))
 
 
 @query(f"SELECT doc_id, {_tok('text')} AS tokens FROM documents", ctes="")
@@ -44,12 +44,12 @@ def node_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f" SELECT doc_id, score FROM tfidf WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20", ctes=_TFIDF)
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
-    return search.tfidf(_docs(spark, d), "doc_id", Q, 20)
+    return search.tfidf(_docs(spark, d), Q, 20)
 
 
 @query(" SELECT doc_id, score FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20", ctes=_BM25)
 def bm25(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(_docs(spark, d), "doc_id", Q, 20)
+    return search.bm25(_docs(spark, d), Q, 20)
 
 
 _COSINE = """qv AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1),
@@ -88,7 +88,7 @@ f AS (SELECT id, 1.0 / (60 + pos + 1) AS part, 1.0 AS bonus, 1 AS i FROM b0 UNIO
 r AS (SELECT id, sum(part::DOUBLE) * max(bonus) AS raw, CASE min(i) WHEN 1 THEN 'keyword' ELSE 'exact' END AS match_type FROM f GROUP BY id) SELECT id, round(raw / (SELECT max(raw) FROM r), 6)::DOUBLE AS score, match_type FROM r ORDER BY score DESC, id LIMIT 20""".lstrip(), ctes=f"{GRAPH}, {_NT}, {_NODE_BM}")
 def rrf(spark: SparkSession, d: str) -> DataFrame:
     n = Graph.load(spark, d).nodes
-    keyword = search.bm25(search.postings(n, "id", search.node_text()), "id", "payment ledger", 100)
+    keyword = search.bm25(search.TextIndex.build(n, "id", search.node_text()), "payment ledger", 100)
     exact = top_by(search.exact_hits(n, "payment"), 100, F.asc("cls"), F.asc("ord"))
     return search.fuse([("keyword", search.positions(keyword, F.desc("score"), F.asc("id"))), ("exact", search.positions(exact, F.asc("cls"), F.asc("ord")))], exact="exact")
 
