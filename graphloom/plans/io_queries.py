@@ -155,14 +155,24 @@ def debounce_batch(spark: SparkSession, d: str) -> DataFrame:
     return watch.sessions(_events(spark, d), "user_id", "6 hours")
 
 
-@query()
+@query(""", cl AS (SELECT max(ts) - INTERVAL '5 seconds' AS mark FROM events) SELECT user_id, start, end_ts AS "end", n FROM ss, cl WHERE end_ts <= mark""", ctes=_SESSIONS)
 def debounce_stream(spark: SparkSession, d: str) -> DataFrame:
     """The sessions that the watermark has closed."""
     return watch.run_to_table(watch.sessions(_events(spark, d, stream=True).withWatermark("ts", "5 seconds"), "user_id", "6 hours"), "debounce")
 
 
-@query()
+def _throttle(seconds: int) -> str:
+    return f"""f AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1), t(user_id, ts) AS (SELECT user_id, ts FROM f UNION ALL SELECT user_id, ts FROM (SELECT t.user_id, (SELECT min(x.ts) FROM events x WHERE x.user_id = t.user_id AND x.ts >= t.ts + INTERVAL '{seconds} seconds') AS ts FROM t) WHERE ts IS NOT NULL)"""
+
+
+@query(" SELECT user_id, ts FROM t", ctes=_throttle(5), recursive=True)
 def throttle_5s(spark: SparkSession, d: str) -> DataFrame:
+    return watch.run_to_table(watch.throttle_stream(_events(spark, d, stream=True), "user_id", 5), "throttle")
+
+
+@query(" SELECT user_id, ts FROM t", ctes=_throttle(3600), recursive=True)
+def throttle_1h(spark: SparkSession, d: str) -> DataFrame:
+    """An hour apart, which refuses more of these events than five seconds do."""
     return watch.run_to_table(watch.throttle_stream(_events(spark, d, stream=True), "user_id", 3600), "throttle")
 
 

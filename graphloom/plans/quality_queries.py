@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +72,9 @@ def confidence_boost(spark: SparkSession, d: str) -> DataFrame:
     return quality.boosted_confidence(g, quality.adjusted_confidence(g)).withColumn("boosted", F.round("boosted", 9))
 
 
-@query()
+@query(f"""{_CON}{_PAIR}, iss AS ({_ORPHAN} UNION ALL {_DANGLING} UNION ALL {_CONSTRAINT} UNION ALL {_BIDIR}){_ADJ}, hi AS (SELECT id FROM aj WHERE adjusted >= 0.8), sl AS (SELECT id, count(*) AS k FROM (SELECT unnest([source_id, target_id]) AS id FROM e WHERE source_id IN (SELECT id FROM hi) AND target_id IN (SELECT id FROM hi)) GROUP BY 1)
+SELECT category, severity, count(*) AS n FROM iss GROUP BY ALL UNION ALL SELECT 'checks', 'total', 2 * (SELECT count(*) FROM n) + 2 * (SELECT count(*) FROM e) + 10
+UNION ALL SELECT 'adjusted', 'total', (SELECT count(*) FROM aj WHERE adjusted <> confidence) + (SELECT count(*) FROM aj JOIN sl USING (id) WHERE adjusted < 1.0)""")
 def validate_report(spark: SparkSession, d: str) -> DataFrame:
     return quality.report(Graph.load(spark, d), fix=True)
 
@@ -141,10 +145,32 @@ def field_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return merge.field_conflicts(a, b, _FEW)
 
 
-@query()
+_PICK = lambda field, e, i: f"CASE WHEN r.id IS NULL THEN n.{field} WHEN n.id IS NULL THEN r.{field} WHEN n.{field} IS DISTINCT FROM r.{field} AND {_RES(field)} = 'use_incoming' THEN r.{field} ELSE n.{field} END AS {field}"
+_SUBST = {"ic": "r.confidence", "ec": "n.confidence", "it": "r.type", "et": "n.type", "ip": "r.provenance", "ep": "n.provenance"}
+
+
+def _RES(field: str) -> str:
+    chain = re.sub(r"\b(ic|ec|it|et|ip|ep)\b", lambda m: _SUBST[m[1]], _CHAIN)
+    if field == "confidence":
+        return "CASE WHEN coalesce(r.confidence > n.confidence, n.confidence IS NULL) THEN 'use_incoming' ELSE 'keep_existing' END"
+    if field == "provenance":
+        return f"CASE WHEN coalesce({_case('r.provenance', schema.TRUST)}, 0) > coalesce({_case('n.provenance', schema.TRUST)}, 0) THEN 'use_incoming' ELSE 'keep_existing' END"
+    if field in merge.PREFER_FILLED:
+        return f"CASE WHEN n.{field} IS NULL THEN 'use_incoming' WHEN r.{field} IS NULL THEN 'keep_existing' ELSE {chain} END"
+    return chain
+
+
+_MERGED = f""", rr AS (SELECT DISTINCT {TRIM.format('node_id')} AS id, record_id, type, name, description, language, source_hash, CASE WHEN isnan(confidence) THEN NULL ELSE confidence END AS confidence, {TRIM.format('provenance')} AS provenance, tags, version FROM node_records),
+r AS (SELECT * FROM rr WHERE (id, record_id) IN (SELECT (id, max(record_id)) FROM rr GROUP BY id)),
+mg AS (SELECT coalesce(n.id, r.id) AS id, n.version AS nv, r.version AS rv, n.id IS NOT NULL AND r.id IS NOT NULL AS both_in, n.type AS t0, n.name AS n0, n.description AS d0, n.language AS l0, n.source_hash AS h0, n.confidence AS c0, n.provenance AS p0, n.tags AS g0, {', '.join(_PICK(f, '', '') for f in FIELDS if f != 'tags')},
+  CASE WHEN r.id IS NULL THEN n.tags WHEN n.id IS NULL THEN r.tags ELSE list_concat(list_distinct(coalesce(n.tags, [])), list_filter(list_distinct(coalesce(r.tags, [])), lambda x: NOT list_contains(coalesce(n.tags, []), x))) END AS tags FROM n FULL JOIN r ON r.id = n.id),
+ch AS (SELECT *, both_in AND (type IS DISTINCT FROM t0 OR name IS DISTINCT FROM n0 OR description IS DISTINCT FROM d0 OR language IS DISTINCT FROM l0 OR source_hash IS DISTINCT FROM h0 OR confidence IS DISTINCT FROM c0 OR provenance IS DISTINCT FROM p0 OR list_sort(tags) IS DISTINCT FROM list_sort(g0)) AS modified FROM mg)"""
+
+
+@query(f"{_MERGED} SELECT id, (coalesce(nv, rv) + modified::INT)::INT AS version, modified, type, name, description, language, source_hash, confidence, provenance, list_sort(tags) AS tags FROM ch")
 def merge_apply(spark: SparkSession, d: str) -> DataFrame:
     a, b = _sides(spark, d)
-    return merge.merged_nodes(a, b, FIELDS)
+    return merge.merged_nodes(a, b, FIELDS).withColumn("tags", F.array_sort("tags"))
 
 
 @query(f"{_MERGE}, up AS (SELECT count(DISTINCT node_id) AS k FROM mc WHERE resolution = 'use_incoming' AND incoming_value IS DISTINCT FROM existing_value) SELECT (SELECT count(*) FROM mc) AS n_conflicts, (SELECT count(*) FROM mc WHERE resolution <> 'flag_review') AS n_auto, (SELECT count(*) FROM mc WHERE resolution = 'flag_review') AS n_flagged, k AS n_updated FROM up")

@@ -130,7 +130,8 @@ def cluster_cohesion(spark: SparkSession, d: str) -> DataFrame:
     return rank.cohesion(g.nodes.select("id", F.split_part("id", F.lit(":"), F.lit(2)).alias("community")), g.edges)
 
 
-@query()
+@query(rf""", w AS (SELECT {_PROJECT} AS community, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS word FROM n), c AS (SELECT community, word, count(*) AS k FROM w GROUP BY ALL)
+SELECT community, word AS label FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY k DESC, word) AS place FROM c) WHERE place = 1""")
 def cluster_labels(spark: SparkSession, d: str) -> DataFrame:
     g = Graph.load(spark, d)
     return rank.cluster_labels(g.nodes.select("id", F.split_part("id", F.lit(":"), F.lit(2)).alias("community")), g.nodes)

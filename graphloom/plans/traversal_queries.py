@@ -66,12 +66,8 @@ def shortest_path_len(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(len(path) - 1,)], "length int")
 
 
-def _component_sql() -> str:
-    return """, u AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT target_id, source_id FROM e),
-c(id, label) AS (SELECT id, id FROM (SELECT id FROM n UNION SELECT a FROM u) UNION SELECT u.b, c.label FROM c JOIN u ON u.a = c.id WHERE c.label < u.b)"""
-
-
-@query()
+@query(""", u AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT target_id, source_id FROM e),
+c(id, label) AS (SELECT id, id FROM (SELECT id FROM n UNION SELECT a FROM u) UNION SELECT u.b, c.label FROM c JOIN u ON u.a = c.id WHERE c.label < u.b) SELECT id, min(label) AS component FROM c GROUP BY id""", recursive=True)
 def component(spark: SparkSession, d: str) -> DataFrame:
     g = Graph.load(spark, d)
     return traverse.components(g.edges, g.nodes)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,26 +43,31 @@ def sessions(events: DataFrame, key: str, quiet: str) -> DataFrame:
     return g.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def throttle_stream(events: DataFrame, key: str, seconds: int = 5) -> DataFrame:
+def throttle_stream(events: DataFrame, key: str, seconds: int = 5, late: str = "5 seconds") -> DataFrame:
     """(key, ts): the events accepted by a leading-edge throttle: one passes if the last accepted one of its key is at least `seconds` back.
-    A state of one timestamp per key; events that come late to their key are refused."""
+    A state of one timestamp per key, dropped when the watermark (`late` behind the newest event) has passed the time it refuses, as any
+    later event is accepted anyway. Within a micro-batch events go in order of time; events that come late to their key are refused."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        stamps = sorted(t for b in batches for t in b["ts"])
+        us = np.sort(np.concatenate([b["ts"].to_numpy("datetime64[us]").view("int64") for b in batches]))
         out = []
-        for t in stamps:
-            us = int(pd.Timestamp(t).value // 1000)
-            if last is None or us - last >= seconds * 1_000_000:
-                out.append(t)
-                last = us
+        at = 0 if last is None else int(np.searchsorted(us, last + seconds * 1_000_000))
+        while at < len(us):  # from one accepted event straight to the next that may pass
+            last = int(us[at])
+            out.append(last)
+            at = int(np.searchsorted(us, last + seconds * 1_000_000))
         if last is not None:
             state.update((last,))
+            state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame({key: [k[0]] * len(out), "ts": out})
+            yield pd.DataFrame({key: [k[0]] * len(out), "ts": np.array(out).view("datetime64[us]")})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.select(key, "ts").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, "ts").withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
