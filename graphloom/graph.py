@@ -85,6 +85,12 @@ class Graph:
         hit = ids.select("id").distinct().withColumn("_hit", F.lit(True))
         return Graph(self.nodes.join(hit, "id", "left").withColumn("is_stale", F.coalesce("_hit", "is_stale")).drop("_hit"), self.edges)
 
+    def mark_edges_stale(self, keys: DataFrame) -> Graph:
+        """Edges by source_id, target_id and type; keys of no edge do nothing."""
+        k = ["source_id", "target_id", "type"]
+        hit = keys.select(*k).distinct().withColumn("_hit", F.lit(True))
+        return Graph(self.nodes, self.edges.join(hit, k, "left").withColumn("is_stale", F.coalesce("_hit", "is_stale")).drop("_hit").select(*self.edges.columns))
+
 
 def top_by(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """A top-k report: TakeOrdered, no global sort."""

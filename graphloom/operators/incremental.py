@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph, upsert
+from graphloom.graph import Graph, top_by, upsert
 from graphloom.operators.impact import changed_nodes
 from graphloom.operators.traverse import propagate_staleness, reach
+from graphloom.session import materialize
 
 
 def change_groups(changes: DataFrame) -> DataFrame:
@@ -46,6 +47,15 @@ def blast_radius(g: Graph, paths: DataFrame, hops: int = 2) -> DataFrame:
     return reach(g.edges, changed_nodes(g, paths).select("id").distinct(), hops, forward=False)
 
 
+def change_report(g: Graph, paths: DataFrame, hops: int = 2, most: int = 50) -> DataFrame:
+    """(n_affected, n_blast, first_ids): nodes of the changed files, what depends on them within hops, and the first ids of that, at most
+    `most`. No changes give zeros and no ids."""
+    hit = materialize(changed_nodes(g, paths).select("id").distinct())
+    far = materialize(reach(g.edges, hit, hops, forward=False).where("depth > 0").select("id"))
+    first = top_by(far, most, F.asc("id")).agg(F.sort_array(F.collect_list("id")).alias("first_ids"))
+    return hit.agg(F.count(F.lit(1)).alias("n_affected")).crossJoin(far.agg(F.count(F.lit(1)).alias("n_blast"))).crossJoin(first)
+
+
 def update(g: Graph, changes: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 2) -> tuple[Graph, DataFrame]:
     """(graph, totals of staleness) of a set of changes: what changed spreads staleness, then the files are read anew."""
     totals, _ = propagate_staleness(g, changed_nodes(g, changes).select("id").distinct(), hops)

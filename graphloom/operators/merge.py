@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from graphloom import schema
 from graphloom.graph import Graph
 
-PREFER_FILLED = ["description", "language", "parent_id", "source_hash"]
+PREFER_FILLED = ["description", "language", "parent_id", "location", "source_hash"]
 CLOSE = 0.1
 
 
@@ -41,7 +41,7 @@ def _resolution(field: str) -> Column:
 
 
 def _text(c: Column, field: str) -> Column:
-    return F.to_json(c) if field == "tags" else c.cast("string")
+    return F.to_json(c) if field in ("tags", "location") else c.cast("string")
 
 
 def field_conflicts(existing: DataFrame, incoming: DataFrame, fields: list[str]) -> DataFrame:
@@ -104,6 +104,8 @@ def new_edges(g: Graph, nodes: DataFrame, incoming: DataFrame) -> DataFrame:
     return e.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
 
 
-def merge_counts(conflicts: DataFrame, merged: DataFrame) -> DataFrame:
+def merge_counts(conflicts: DataFrame, merged: DataFrame, added: DataFrame | None = None) -> DataFrame:
+    """(n_conflicts, n_auto, n_flagged, n_updated), and edges_added with the edges from new_edges()."""
     c = conflicts.agg(F.count(F.lit(1)).alias("n_conflicts"), F.count(F.when(F.col("resolution") != "flag_review", 1)).alias("n_auto"), F.count(F.when(F.col("resolution") == "flag_review", 1)).alias("n_flagged"))
-    return c.crossJoin(merged.agg(F.count(F.when(F.col("modified"), 1)).alias("n_updated")))
+    out = c.crossJoin(merged.agg(F.count(F.when(F.col("modified"), 1)).alias("n_updated")))
+    return out if added is None else out.crossJoin(added.agg(F.count(F.lit(1)).alias("edges_added")))

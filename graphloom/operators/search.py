@@ -163,3 +163,9 @@ def matched_field(query: str) -> Column:
     t = tokens
     q = t(F.lit(query))
     return F.when(F.arrays_overlap(t(F.col("name")), q), "name").when(F.arrays_overlap(t(F.col("description")), q), "description").when(F.arrays_overlap(t(F.array_join("tags", " ")), q), "tags").otherwise("metadata")
+
+
+def plain_hits(nodes: DataFrame, query: str, index: TextIndex, limit: int = 20) -> DataFrame:
+    """(id, score, match_type): exact hits at 1.0 and keyword hits at 0.85, without fusion."""
+    exact = top_by(exact_hits(nodes, query), limit, F.asc("cls"), F.asc("ord")).select("id", F.lit(1.0).alias("score"), F.lit("exact").alias("match_type"))
+    return exact.unionByName(bm25(index, query, limit).select("id", F.lit(0.85).alias("score"), F.lit("keyword").alias("match_type")))

@@ -105,3 +105,11 @@ def _diff(old: DataFrame, new: DataFrame, cols: list[str], kind: str) -> DataFra
     a, b = old.select("key", F.struct(*cols).alias("a")), new.select("key", F.struct(*cols).alias("b"))
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("modified")
     return a.join(b, "key", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(F.lit(kind).alias("kind"), "key", change.alias("change"))
+
+
+def overridden(nodes: DataFrame, table: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
+    """nodes with what a table of corrections (key, some columns) says; nulls in it correct nothing, unknown keys are ignored, and of
+    several rows for a key the greatest value of each column counts."""
+    t = table.groupBy(key).agg(*[F.max(c).alias(f"_{c}") for c in columns])
+    out = nodes.join(t, key, "left")
+    return out.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in nodes.columns])

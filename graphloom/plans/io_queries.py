@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.operators import incremental
+from graphloom.functions.extract import call_costs
+from graphloom.operators import incremental, store
 from graphloom.plans.registry import Registry
 from graphloom.plans.store_queries import HUB
 from graphloom.schema import lookup, sql_values
@@ -186,18 +187,43 @@ def pending_fold(spark: SparkSession, d: str) -> DataFrame:
     return watch.folded(e, "6 hours").select("workspace", "path", "start", "change_type")
 
 
-_PRICES = {"view": (1.0, 5.0), "click": (3.0, 15.0), "signup": (15.0, 75.0)}
+_PRICES = [("view", 1.0, 5.0, 1.25, 0.1), ("click", 3.0, 15.0, 3.75, 0.3), ("signup", 15.0, 75.0, 18.75, 1.5)]
+_PRICED = "pr(event_type, a, b, c, r) AS (VALUES " + sql_values(_PRICES) + "), ev AS (SELECT event_type, sum(event_id % 1000)::BIGINT AS input, sum(event_id % 300)::BIGINT AS output, sum(event_id % 70)::BIGINT AS cache_write, sum(event_id % 900)::BIGINT AS cache_read FROM events GROUP BY 1)"
 
 
-_PRICED = "pr(event_type, a, b) AS (VALUES " + sql_values([(k, a, b) for k, (a, b) in _PRICES.items()]) + ")"
+@query("SELECT ev.event_type, input, output, cache_write, cache_read, round((input * a + output * b + cache_write * c + cache_read * r) / 1e6, 6)::DOUBLE AS cost, round(cache_read * (a - r) / 1e6, 6)::DOUBLE AS cache_savings FROM ev LEFT JOIN pr ON pr.event_type = CASE WHEN ev.event_type IN (SELECT event_type FROM pr) THEN ev.event_type ELSE 'click' END", ctes=_PRICED)
+def llm_cost(spark: SparkSession, d: str) -> DataFrame:
+    """Events as calls with tokens of four classes; kinds without a price are charged as clicks."""
+    p = spark.createDataFrame(_PRICES, "model string, input double, output double, cache_write double, cache_read double")
+    i = F.col("event_id")
+    e = load(spark, d, "events").select("event_type", (i % 1000).alias("input"), (i % 300).alias("output"), (i % 70).alias("cache_write"), (i % 900).alias("cache_read"))
+    return call_costs(e, p, "event_type", "click")
 
 
-@query("SELECT event_type, round(sum(event_id % 1000 * a + event_id % 300 * b) / 1e6, 6)::DOUBLE AS cost, sum(event_id % 1000)::BIGINT AS tokens_in FROM events JOIN pr USING (event_type) GROUP BY event_type", ctes=_PRICED)
-def llm_cost(spark: SparkSession, d: str) -> DataFrame:
-    """Cost of calls by price class: tokens times price per million."""
-    p = spark.createDataFrame([(k, a, b) for k, (a, b) in _PRICES.items()], "event_type string, a double, b double")
-    e = load(spark, d, "events").join(F.broadcast(p), "event_type")
-    return e.groupBy("event_type").agg(F.round(F.sum((F.col("event_id") % 1000) * F.col("a") + (F.col("event_id") % 300) * F.col("b")) / 1e6, 6).alias("cost"), F.sum(F.col("event_id") % 1000).alias("tokens_in"))
+@query("SELECT (SELECT count(*) FROM ex) AS n_entries, (SELECT count(*) FROM documents) AS n_documents", ctes=_TREE)
+def scan_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Folders and files met by a scan, and knowledge documents."""
+    entries = workspace.tree_nodes(_paths(spark, d)).agg(F.count(F.lit(1)).alias("n_entries"))
+    return entries.crossJoin(load(spark, d, "documents").agg(F.count(F.lit(1)).alias("n_documents")))
+
+
+@query(f"""{_HITN}, st AS (SELECT DISTINCT id FROM fl JOIN ch ON regexp_extract(path, '[^/]*$') = regexp_extract(file, '[^/]*$') WHERE ends_with(file, path) OR ends_with(path, file)), up(id, depth) AS (SELECT id, 0 FROM st UNION SELECT e.source_id, depth + 1 FROM up JOIN e ON e.target_id = up.id WHERE depth < 2),
+fr AS (SELECT DISTINCT id FROM up WHERE id NOT IN (SELECT id FROM st)) SELECT (SELECT count(*) FROM st) AS n_affected, (SELECT count(*) FROM fr) AS n_blast, (SELECT list(id ORDER BY id) FROM (SELECT id FROM fr ORDER BY id LIMIT 50)) AS first_ids""", recursive=True)
+def blast_radius(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.change_report(Graph.load(spark, d), _changes(spark, d).select("path"))
+
+
+@query("SELECT source_id, target_id, type, is_stale OR type = 'TESTS' AS is_stale FROM e")
+def mark_edges_stale(spark: SparkSession, d: str) -> DataFrame:
+    g = Graph.load(spark, d)
+    return g.mark_edges_stale(g.edges.where("type = 'TESTS'")).edges.select("source_id", "target_id", "type", "is_stale")
+
+
+@query("SELECT id, CASE WHEN id = parent_id THEN name WHEN ord % 3 = 0 THEN 'corrected' ELSE name END AS name, CASE WHEN ord % 3 = 0 AND id <> coalesce(parent_id, '') AND ord % 2 = 0 THEN 'why' ELSE description END AS description FROM n")
+def override_table(spark: SparkSession, d: str) -> DataFrame:
+    n = Graph.load(spark, d).nodes
+    t = n.where("ord % 3 = 0 and (parent_id is null or id <> parent_id)").select("id", F.lit("corrected").alias("name"), F.when(F.col("ord") % 2 == 0, "why").alias("description"))
+    return store.overridden(n.select("id", "name", "description"), t, ["name", "description"])
 
 
 def queries() -> dict:

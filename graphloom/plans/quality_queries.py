@@ -192,6 +192,15 @@ def metadata_merge(spark: SparkSession, d: str) -> DataFrame:
     return n.select("id", merge.merge_json(F.col("metadata"), F.to_json(F.struct(F.col("version").alias("v"), F.col("tier")))).alias("metadata"))
 
 
+@query(f"{_MERGE}, up AS (SELECT count(DISTINCT node_id) AS k FROM mc WHERE resolution = 'use_incoming' AND incoming_value IS DISTINCT FROM existing_value) SELECT (SELECT count(*) FROM mc) AS n_conflicts, (SELECT count(*) FROM mc WHERE resolution <> 'flag_review') AS n_auto, (SELECT count(*) FROM mc WHERE resolution = 'flag_review') AS n_flagged, k AS n_updated, (SELECT count(*) FROM e WHERE ord % 3 = 0 AND source_id IN (SELECT id FROM n UNION SELECT id FROM rl) AND target_id IN (SELECT id FROM n UNION SELECT id FROM rl)) AS edges_added FROM up")
+def merge_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of a merge with its edges: two thirds of the edges are there, all come in."""
+    a, b = _sides(spark, d)
+    g = Graph.load(spark, d)
+    merged = merge.merged_nodes(a, b, _FEW)
+    return merge.merge_counts(merge.field_conflicts(a, b, _FEW), merged, merge.new_edges(Graph(g.nodes, g.edges.where("ord % 3 <> 0")), merged, g.edges))
+
+
 @query(", o AS (SELECT * FROM e WHERE ord % 3 <> 0) SELECT source_id, target_id, type FROM e WHERE (source_id, target_id, type) NOT IN (SELECT (source_id, target_id, type) FROM o) AND source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n)")
 def edge_merge(spark: SparkSession, d: str) -> DataFrame:
     g = Graph.load(spark, d)

@@ -143,6 +143,14 @@ def list_clusters(spark: SparkSession, d: str) -> DataFrame:
     return top_by(n, 20, F.desc("size"), F.asc("community"))
 
 
+@query()
+def cluster_report(spark: SparkSession, d: str) -> DataFrame:
+    """The semantic communities with size, cohesion and label."""
+    from graphloom import api
+
+    return api.clusters(Graph.load(spark, d)).select("community", "size", "n_inner", "cohesion", "label")
+
+
 def queries() -> dict:
     return R.queries
 

@@ -98,6 +98,13 @@ def matched_field(spark: SparkSession, d: str) -> DataFrame:
     return Graph.load(spark, d).nodes.select("id", search.matched_field("payment user").alias("field"))
 
 
+@query(""" , pe AS (SELECT id FROM n WHERE contains(lower(name), 'payment ledger') OR contains(lower(coalesce(description, '')), 'payment ledger') ORDER BY CASE WHEN contains(lower(name), 'payment ledger') THEN 0 ELSE 1 END, ord LIMIT 20), pk AS (SELECT id FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 20)
+SELECT id, 1.0::DOUBLE AS score, 'exact' AS match_type FROM pe UNION ALL SELECT id, 0.85::DOUBLE, 'keyword' FROM pk""".lstrip(), ctes=f"{GRAPH}, {_NT}, {_NODE_BM}")
+def plain_hits(spark: SparkSession, d: str) -> DataFrame:
+    n = Graph.load(spark, d).nodes
+    return search.plain_hits(n, "payment ledger", search.TextIndex.build(n, "id", search.node_text()))
+
+
 def queries() -> dict:
     return R.queries
 

@@ -175,6 +175,17 @@ def pack_text(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(level, impact.truncate(impact.render(rows, level), 1000))], "level string, text string")
 
 
+@query()
+def context_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The pack of the hub at each detail level: how many nodes its budget keeps, edges among them, and the risk."""
+    from graphloom import api
+
+    g = Graph.load(spark, d)
+    packs = [api.context(g, HUB, level, 2) for level in impact.LEVEL_TOKENS]
+    rows = [(p["level"], len(p["relevant_nodes"]), len(p["upstream"]), len(p["downstream"]), len(p["edges"]), p.get("risk_assessment")) for p in packs]
+    return spark.createDataFrame(rows, "level string, n_target int, n_upstream int, n_downstream int, n_edges int, risk string")
+
+
 _FILE = "replace(location.file_path, '\\', '/')"
 
 
