@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import materialize
+
 
 def innermost_scope(at: DataFrame, scopes: DataFrame) -> DataFrame:
     """at (file, line, ...) with the id of the smallest scope (file, first, last, id) around each line, ties to the earlier start, end and
@@ -36,13 +38,16 @@ MAX_ASKED = 10_000
 
 def fuzzy_resolve(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """Like resolve_names, with a last stage for names that have no equal: the first node whose name contains it or is contained in it.
-    That stage compares each asked name with all nodes, so the names left to it are counted and must be at most MAX_ASKED."""
+    That stage compares each asked name with all nodes; names go to the nodes MAX_ASKED or so at a time, however many there are."""
     sure = resolve_names(names, nodes).select("name", "id", F.when(F.col("exact"), "exact").otherwise("case").alias("how"))
     left = names.distinct().join(sure.select("name"), "name", "left_anti").where("name <> ''")
-    if left.limit(MAX_ASKED + 1).count() > MAX_ASKED:
-        raise ValueError(f"more than {MAX_ASKED} names without an equal")
+    left = materialize(left)
+    parts = max(1, -(-left.count() // MAX_ASKED))
     a, b = F.lower("name"), F.lower("node_name")
-    loose = nodes.select(F.col("name").alias("node_name"), "id", "ord").where("node_name <> ''").join(F.broadcast(left), F.contains(b, a) | F.contains(a, b))
+    known, loose = nodes.select(F.col("name").alias("node_name"), "id", "ord").where("node_name <> ''"), None
+    for k in range(parts):
+        part = known.join(F.broadcast(left.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == k)), F.contains(b, a) | F.contains(a, b))
+        loose = part if loose is None else loose.unionByName(part)
     loose = loose.groupBy("name").agg(F.min(F.struct("ord", "id"))["id"].alias("id")).select("name", "id", F.lit("part").alias("how"))
     return sure.unionByName(loose)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,10 +181,10 @@ def cluster_links(g: Graph, node_types: list[str], edge_types: list[str] | None)
     return members, pair.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
-def communities(members: DataFrame, links: DataFrame, passes: int = 4, rounds: int = 8) -> DataFrame:
+def communities(members: DataFrame, links: DataFrame, passes: int = 20, rounds: int = 60) -> DataFrame:
     """(id, community) by distributed Louvain: in each round every vertex weighs the communities of its neighbours and moves where
     modularity gains most; halves of the vertices (by a hash that changes with the round) take turns, which keeps neighbours from swapping.
-    Then communities become vertices, pass after pass, until none moves. Ties go to the smallest label, so the result is the same every
+    Then communities become vertices, pass after pass, until none moves; a warning tells if rounds or passes run out before. Ties go to the smallest label, so the result is the same every
     time. Members without links are communities of their own. All is joins and sums on edges: nothing is gathered in one place."""
     v = materialize(members.select("id").distinct().sort("id").withColumn("u", F.monotonically_increasing_id()))
     a, b = v.select(F.col("id").alias("a"), F.col("u").alias("x")), v.select(F.col("id").alias("b"), F.col("u").alias("y"))
@@ -196,7 +197,7 @@ def communities(members: DataFrame, links: DataFrame, passes: int = 4, rounds: i
     for _ in range(passes):
         deg = materialize(edges.groupBy("x").agg(F.sum("w").alias("k")))
         com = materialize(deg.select("x", F.col("x").alias("c")))
-        changed = False
+        changed, still = False, 0
         for r in range(rounds):
             near = edges.where("x <> y").join(com.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy("x", "cy").agg(F.sum("w").alias("into"))
             size = com.join(deg, "x").groupBy("c").agg(F.sum("k").alias("s"))
@@ -211,13 +212,18 @@ def communities(members: DataFrame, links: DataFrame, passes: int = 4, rounds: i
             moved = seen["moved"]
             com = new.select("x", "c")
             changed |= moved > 0
-            if not moved and r:
+            still = 0 if moved else still + 1
+            if still == 2:  # each half of the vertices has had its turn
                 break
+        else:
+            warnings.warn(f"vertices still move after {rounds} rounds", stacklevel=2)
         place = materialize(place.join(com.select(F.col("x").alias("c"), F.col("c").alias("d")), "c", "left").select("u", F.coalesce("d", "c").alias("c")))
         if not changed:
             break
         x, y = com.select("x", F.col("c").alias("cx")), com.select(F.col("x").alias("y"), F.col("c").alias("cy"))
         edges = materialize(edges.join(x, "x").join(y, "y").groupBy("cx", "cy").agg(F.sum("w").alias("w")).select(F.col("cx").alias("x"), F.col("cy").alias("y"), "w"))
+    else:
+        warnings.warn(f"communities still change after {passes} passes", stacklevel=2)
     return v.join(place, "u").select("id", F.col("c").alias("community"))
 
 

@@ -18,20 +18,21 @@ from graphloom.graph import Graph
 from graphloom.session import materialize
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, forward: bool = True, both: bool = False) -> DataFrame:
-    """(id, depth): everything within max_depth edges of the seeds (column id), seeds at depth 0. Seeds need not be nodes; cycles and
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None, forward: bool = True, both: bool = False) -> DataFrame:
+    """(id, depth): everything within max_depth edges of the seeds (column id), however far with None, seeds at depth 0. Seeds need not be nodes; cycles and
     parallel edges do no harm; no seeds give no rows."""
     a, b = ("source_id", "target_id") if forward else ("target_id", "source_id")
     step = edges.select(F.col(a).alias("id"), F.col(b).alias("next"))
     step = step.unionByName(step.select(F.col("next").alias("id"), F.col("id").alias("next"))) if both else step
     front = materialize(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     seen = front
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         new = front.select("id").join(step, "id").select(F.col("next").alias("id")).distinct()
         front = materialize(new.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        seen = seen if depth % 16 else materialize(seen)
     return seen
 
 
@@ -159,11 +160,11 @@ def trace_flow(g: Graph, entries: DataFrame, max_depth: int = 10) -> DataFrame:
     return seen
 
 
-def containment_depth(g: Graph, limit: int = 200) -> int:
+def containment_depth(g: Graph) -> int:
     """The longest way down CONTAINS from a node nothing contains."""
     down = g.edges.where("type = 'CONTAINS'").select("source_id", "target_id")
     roots = down.select(F.col("source_id").alias("id")).distinct().join(down.select(F.col("target_id").alias("id")), "id", "left_anti")
-    return reach(down, roots, limit).agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    return reach(down, roots, None).agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
 
 
 def strong_parts(out: dict, among: set) -> list[set]:

@@ -81,9 +81,9 @@ def last_assignment(spark: SparkSession, d: str) -> DataFrame:
     return extract.last_assignment(_lines(spark, d))
 
 
-@query(r""" SELECT file_id, line_no, coalesce(nullif(regexp_replace(regexp_extract(line, '[''"`]([^''"`]+)[''"`]', 1), '\$\{[^}]+\}', '{id}', 'g'), ''), 'dynamic') AS key FROM ln WHERE contains(line, 'log.')""", ctes=_LINES)
+@query(r""" SELECT file_id, line_no, coalesce(nullif(regexp_replace(regexp_extract(line, '[''"`]([^''"`]+)[''"`]', 1), '\$\{[^}]+\}', '{id}', 'g'), ''), 'dynamic') AS key FROM ln""", ctes=_LINES)
 def cache_keys(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d).where(F.contains("line", F.lit("log."))).select("file_id", "line_no", extract.cache_key(F.col("line")).alias("key"))
+    return _lines(spark, d).select("file_id", "line_no", extract.cache_key(F.col("line")).alias("key"))
 
 
 @query(r""", im AS (SELECT file_id, regexp_extract(line, '^\s*(?:import|from)\s(.*)$', 1) AS w FROM ln WHERE regexp_matches(line, '^\s*(?:import|from)\s')), us AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(w, '([A-Za-z_]\w+)', 1)) AS model FROM im) SELECT file_id, model FROM us WHERE model IN (SELECT name FROM graph_nodes WHERE type = 'Function')""", ctes=_LINES)
@@ -164,11 +164,11 @@ def budget_replay(spark: SparkSession, d: str) -> DataFrame:
 _FN = """fn AS (SELECT id, name, ord, replace(location.file_path, '\\', '/') AS file, location.start_line AS first, location.end_line AS last FROM n WHERE type IN ('Function', 'Endpoint', 'AsyncHandler') AND location.file_path IS NOT NULL)"""
 
 
-@query(f"""{', ' + _FN}, hit AS (SELECT l.file_id, l.line_no, arg_min(fn.id, [last - first, first]) AS scope FROM ln l JOIN fn ON fn.file = l.file_path AND l.line_no BETWEEN first AND last WHERE contains(l.line, 'return') GROUP BY 1, 2) SELECT l.file_id, l.line_no, h.scope FROM ln l LEFT JOIN hit h USING (file_id, line_no) WHERE contains(l.line, 'return')""", ctes=f"{GRAPH}, {_LINES}")
+@query(f"""{', ' + _FN}, hit AS (SELECT l.file_id, l.line_no, arg_min(fn.id, [last - first, first]) AS scope FROM ln l JOIN fn ON fn.file = l.file_path AND l.line_no BETWEEN first AND last GROUP BY 1, 2) SELECT l.file_id, l.line_no, h.scope FROM ln l LEFT JOIN hit h USING (file_id, line_no)""", ctes=f"{GRAPH}, {_LINES}")
 def innermost_scope(spark: SparkSession, d: str) -> DataFrame:
     n = Graph.load(spark, d).nodes.where("type in ('Function', 'Endpoint', 'AsyncHandler') and location.file_path is not null")
     scopes = n.select("id", F.translate("location.file_path", "\\", "/").alias("file"), F.col("location.start_line").alias("first"), F.col("location.end_line").alias("last"))
-    at = _lines(spark, d).where(F.contains("line", F.lit("return"))).select("file_id", F.col("file_path").alias("file"), F.col("line_no").alias("line"))
+    at = _lines(spark, d).select("file_id", F.col("file_path").alias("file"), F.col("line_no").alias("line"))
     return resolve.innermost_scope(at, scopes).select("file_id", F.col("line").alias("line_no"), "scope")
 
 
@@ -215,7 +215,7 @@ def project_of_file(spark: SparkSession, d: str) -> DataFrame:
     return resolve.project_of(load(spark, d, "source_files").select(F.col("file_path").alias("path")), projects)
 
 
-@query(""", t AS (SELECT DISTINCT id, lower(unnest(tags)) AS tag FROM n WHERE type IN ('Workspace', 'Project', 'Module')), u AS (SELECT tag FROM t GROUP BY tag HAVING count(*) <= 1000) SELECT x.id AS a, y.id AS b, list_sort(list(DISTINCT x.tag)) AS shared FROM t x JOIN t y ON x.tag = y.tag AND x.id < y.id WHERE x.tag IN (SELECT tag FROM u) GROUP BY ALL""")
+@query(""", t AS (SELECT DISTINCT id, lower(unnest(tags)) AS tag FROM n WHERE type IN ('Workspace', 'Project', 'Module')) SELECT x.id AS a, y.id AS b, list_sort(list(DISTINCT x.tag)) AS shared FROM t x JOIN t y ON x.tag = y.tag AND x.id < y.id GROUP BY ALL""")
 def shared_tag_pairs(spark: SparkSession, d: str) -> DataFrame:
     n = Graph.load(spark, d).nodes.where("type in ('Workspace', 'Project', 'Module')")
     return resolve.shared_tag_pairs(n, "id", "tags")

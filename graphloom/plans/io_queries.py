@@ -46,9 +46,9 @@ def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
     return workspace.tree_nodes(_paths(spark, d)).select("id", "name", "parent_id")
 
 
-@query("SELECT count(*) AS n FROM source_files WHERE NOT list_has_any(string_split(file_path, '/'), [" + ", ".join(f"'{s}'" for s in workspace.SKIP) + "])", ctes="")
+@query("SELECT file_path AS path, CASE regexp_extract(lower(file_path), '\\.([a-z]+)$', 1) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' END AS language FROM source_files WHERE NOT list_has_any(string_split(file_path, '/'), [" + ", ".join(f"'{s}'" for s in workspace.SKIP) + "])", ctes="")
 def source_collector(spark: SparkSession, d: str) -> DataFrame:
-    return workspace.source_paths(_paths(spark, d)).agg(F.count(F.lit(1)).alias("n"))
+    return workspace.source_paths(_paths(spark, d))
 
 
 @query("SELECT * FROM (VALUES ('a.py', 'added', NULL), ('b.py', 'modified', NULL), ('c.py', 'deleted', NULL), ('e.py', 'renamed', 'd.py'), ('g.py', 'added', NULL)) t(path, change_type, old_path)", ctes="")
@@ -80,10 +80,11 @@ def remove_file(spark: SparkSession, d: str) -> DataFrame:
     return g.nodes.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(g.edges.agg(F.count(F.lit(1)).alias("n_edges")))
 
 
-@query(f""", rn AS (SELECT file_path AS old_path, 'moved/' || file_path AS path FROM source_files WHERE file_id % 5 = 0), ky AS (SELECT n.id, replace(n.id, lower(old_path), lower(path)) AS nid FROM n JOIN rn ON {_FILE} = old_path)
+@query(f""", rn AS (SELECT file_path AS old_path, 'moved/' || file_path AS path FROM source_files), ky AS (SELECT n.id, replace(n.id, lower(old_path), lower(path)) AS nid FROM n JOIN rn ON {_FILE} = old_path)
 SELECT coalesce(ky.nid, n.id) AS id, coalesce(kp.nid, n.parent_id) AS parent_id FROM n LEFT JOIN ky ON ky.id = n.id LEFT JOIN ky kp ON kp.id = n.parent_id""")
 def rename_rekey(spark: SparkSession, d: str) -> DataFrame:
-    r = load(spark, d, "source_files").where("file_id % 5 = 0").select(F.col("file_path").alias("old_path"), F.concat(F.lit("moved/"), "file_path").alias("path"))
+    """Every file moves."""
+    r = load(spark, d, "source_files").select(F.col("file_path").alias("old_path"), F.concat(F.lit("moved/"), "file_path").alias("path"))
     return incremental.rename_files(Graph.load(spark, d), r).nodes.select("id", "parent_id")
 
 
@@ -117,9 +118,9 @@ def dot_export(spark: SparkSession, d: str) -> DataFrame:
     return graphs.dot_lines(Graph.load(spark, d))
 
 
-@query("SELECT id, CASE WHEN id = '" + HUB + "' THEN 'Function' ELSE 'Module' END AS type FROM (SELECT source_id AS id FROM e WHERE type = 'TESTS' UNION SELECT target_id FROM e WHERE type = 'TESTS') UNION SELECT '" + HUB + "', 'Function' WHERE false")
+@query("SELECT id, CASE WHEN id = '" + HUB + "' THEN 'Function' ELSE 'Module' END AS type FROM (SELECT source_id AS id FROM e UNION SELECT target_id FROM e) UNION SELECT '" + HUB + "', 'Function' WHERE false")
 def csv_edge_list(spark: SparkSession, d: str) -> DataFrame:
-    t = Graph.load(spark, d).edges.where("type = 'TESTS'").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "type", F.col("weight").cast("string").alias("weight"), F.when(F.col("source_id") == HUB, "Function").otherwise("Module").alias("source_type"), F.when(F.col("target_id") == HUB, "Function").otherwise("Module").alias("target_type"))
+    t = Graph.load(spark, d).edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "type", F.col("weight").cast("string").alias("weight"), F.when(F.col("source_id") == HUB, "Function").otherwise("Module").alias("source_type"), F.when(F.col("target_id") == HUB, "Function").otherwise("Module").alias("target_type"))
     return graphs.csv_edges(t).nodes.select("id", "type")
 
 

@@ -128,15 +128,18 @@ _SPEC = {t: schema.TIER_SPECIFICITY[tier] + schema.TYPE_BONUS.get(t, 0) for tier
 _case = lambda c, table: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " END"
 _CHAIN = f"""CASE WHEN round(ic - ec, 9) > 0.1 THEN 'use_incoming' WHEN round(ic - ec, 9) < -0.1 THEN 'keep_existing' WHEN coalesce(it <> et, false) AND {_case('it', _SPEC)} > {_case('et', _SPEC)} THEN 'use_incoming' WHEN coalesce(it <> et, false) AND {_case('it', _SPEC)} < {_case('et', _SPEC)} THEN 'keep_existing'
 WHEN {_case('ip', schema.TRUST)} > {_case('ep', schema.TRUST)} THEN 'use_incoming' WHEN {_case('ip', schema.TRUST)} < {_case('ep', schema.TRUST)} THEN 'keep_existing' ELSE 'flag_review' END"""
-_MERGE = f""", rc AS (SELECT DISTINCT {TRIM.format('node_id')} AS id, record_id, type, name, description, language, source_hash, confidence, {TRIM.format('provenance')} AS provenance FROM node_records),
+_MERGE = f""", rc AS (SELECT DISTINCT {TRIM.format('node_id')} AS id, record_id, type, name, description, language, source_hash, confidence, {TRIM.format('provenance')} AS provenance, tags FROM node_records),
 rl AS (SELECT * FROM rc WHERE (id, record_id) IN (SELECT (id, max(record_id)) FROM rc GROUP BY id)),
-mj AS (SELECT a.id, a.type AS et, b.type AS it, a.confidence AS ec, CASE WHEN isnan(b.confidence) THEN NULL ELSE b.confidence END AS ic, a.provenance AS ep, b.provenance AS ip, a.name AS en, b.name AS inm, a.description AS ed, b.description AS idd, a.language AS el, b.language AS il, a.source_hash AS eh, b.source_hash AS ih FROM n a JOIN rl b USING (id)),
+mj AS (SELECT a.id, a.type AS et, b.type AS it, a.confidence AS ec, CASE WHEN isnan(b.confidence) THEN NULL ELSE b.confidence END AS ic, a.provenance AS ep, b.provenance AS ip, a.name AS en, b.name AS inm, a.description AS ed, b.description AS idd, a.language AS el, b.language AS il, a.source_hash AS eh, b.source_hash AS ih, a.tags AS eg, b.tags AS ig FROM n a JOIN rl b USING (id)),
 mc AS (SELECT id AS node_id, 'type' AS field, et AS existing_value, it AS incoming_value, {_CHAIN} AS resolution FROM mj WHERE et IS DISTINCT FROM it
 UNION ALL SELECT id, 'name', en, inm, {_CHAIN} FROM mj WHERE en IS DISTINCT FROM inm
 UNION ALL SELECT id, 'description', ed, idd, CASE WHEN ed IS NULL THEN 'use_incoming' WHEN idd IS NULL THEN 'keep_existing' ELSE {_CHAIN} END FROM mj WHERE ed IS DISTINCT FROM idd
 UNION ALL SELECT id, 'language', el, il, CASE WHEN el IS NULL THEN 'use_incoming' WHEN il IS NULL THEN 'keep_existing' ELSE {_CHAIN} END FROM mj WHERE el IS DISTINCT FROM il
-UNION ALL SELECT id, 'source_hash', eh, ih, CASE WHEN eh IS NULL THEN 'use_incoming' WHEN ih IS NULL THEN 'keep_existing' ELSE {_CHAIN} END FROM mj WHERE eh IS DISTINCT FROM ih)"""
-_FEW = ["type", "name", "description", "language", "source_hash"]
+UNION ALL SELECT id, 'source_hash', eh, ih, CASE WHEN eh IS NULL THEN 'use_incoming' WHEN ih IS NULL THEN 'keep_existing' ELSE {_CHAIN} END FROM mj WHERE eh IS DISTINCT FROM ih
+UNION ALL SELECT id, 'confidence', ec::VARCHAR, ic::VARCHAR, CASE WHEN coalesce(ic > ec, ec IS NULL) THEN 'use_incoming' ELSE 'keep_existing' END FROM mj WHERE ec IS DISTINCT FROM ic
+UNION ALL SELECT id, 'provenance', ep, ip, CASE WHEN coalesce({_case('ip', schema.TRUST)}, 0) > coalesce({_case('ep', schema.TRUST)}, 0) THEN 'use_incoming' WHEN coalesce({_case('ip', schema.TRUST)}, 0) < coalesce({_case('ep', schema.TRUST)}, 0) THEN 'keep_existing' ELSE 'flag_review' END FROM mj WHERE ep IS DISTINCT FROM ip
+UNION ALL SELECT id, 'tags', to_json(eg)::VARCHAR, to_json(ig)::VARCHAR, 'merge' FROM mj WHERE len(list_filter(coalesce(ig, []), lambda x: NOT list_contains(coalesce(eg, []), x))) > 0)"""
+_FEW = FIELDS
 
 
 @query(f"{_MERGE} SELECT node_id, field, existing_value, incoming_value, resolution FROM mc")
@@ -173,7 +176,7 @@ def merge_apply(spark: SparkSession, d: str) -> DataFrame:
     return merge.merged_nodes(a, b, FIELDS).withColumn("tags", F.array_sort("tags"))
 
 
-@query(f"{_MERGE}, up AS (SELECT count(DISTINCT node_id) AS k FROM mc WHERE resolution = 'use_incoming' AND incoming_value IS DISTINCT FROM existing_value) SELECT (SELECT count(*) FROM mc) AS n_conflicts, (SELECT count(*) FROM mc WHERE resolution <> 'flag_review') AS n_auto, (SELECT count(*) FROM mc WHERE resolution = 'flag_review') AS n_flagged, k AS n_updated FROM up")
+@query(f"{_MERGE}, up AS (SELECT count(DISTINCT node_id) AS k FROM mc WHERE resolution = 'merge' OR resolution = 'use_incoming' AND incoming_value IS DISTINCT FROM existing_value) SELECT (SELECT count(*) FROM mc) AS n_conflicts, (SELECT count(*) FROM mc WHERE resolution <> 'flag_review') AS n_auto, (SELECT count(*) FROM mc WHERE resolution = 'flag_review') AS n_flagged, k AS n_updated FROM up")
 def merge_counts(spark: SparkSession, d: str) -> DataFrame:
     a, b = _sides(spark, d)
     return merge.merge_counts(merge.field_conflicts(a, b, _FEW), merge.merged_nodes(a, b, _FEW))
@@ -182,8 +185,8 @@ def merge_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(f", rl AS (SELECT id, arg_max(tags, record_id) AS tags FROM (SELECT {TRIM.format('node_id')} AS id, tags, record_id FROM node_records) GROUP BY 1) SELECT id, list_sort(list_distinct(list_concat(coalesce(a.tags, []), coalesce(b.tags, [])))) AS tags FROM n a JOIN rl b USING (id)")
 def tag_union(spark: SparkSession, d: str) -> DataFrame:
     a, b = _sides(spark, d)
-    j = a.alias("a").join(b.alias("b"), "id")
-    return j.select("id", F.sort_array(F.array_union(F.coalesce("a.tags", F.array()), F.coalesce("b.tags", F.array()))).alias("tags"))
+    merged = merge.merged_nodes(a, b, ["type", "confidence", "provenance", "tags"])
+    return merged.join(a.select("id"), "id", "left_semi").join(b.select("id"), "id", "left_semi").select("id", F.sort_array("tags").alias("tags"))
 
 
 @query()
@@ -192,7 +195,7 @@ def metadata_merge(spark: SparkSession, d: str) -> DataFrame:
     return n.select("id", merge.merge_json(F.col("metadata"), F.to_json(F.struct(F.col("version").alias("v"), F.col("tier")))).alias("metadata"))
 
 
-@query(f"{_MERGE}, up AS (SELECT count(DISTINCT node_id) AS k FROM mc WHERE resolution = 'use_incoming' AND incoming_value IS DISTINCT FROM existing_value) SELECT (SELECT count(*) FROM mc) AS n_conflicts, (SELECT count(*) FROM mc WHERE resolution <> 'flag_review') AS n_auto, (SELECT count(*) FROM mc WHERE resolution = 'flag_review') AS n_flagged, k AS n_updated, (SELECT count(*) FROM e WHERE ord % 3 = 0 AND source_id IN (SELECT id FROM n UNION SELECT id FROM rl) AND target_id IN (SELECT id FROM n UNION SELECT id FROM rl)) AS edges_added FROM up")
+@query(f"{_MERGE}, up AS (SELECT count(DISTINCT node_id) AS k FROM mc WHERE resolution = 'merge' OR resolution = 'use_incoming' AND incoming_value IS DISTINCT FROM existing_value) SELECT (SELECT count(*) FROM mc) AS n_conflicts, (SELECT count(*) FROM mc WHERE resolution <> 'flag_review') AS n_auto, (SELECT count(*) FROM mc WHERE resolution = 'flag_review') AS n_flagged, k AS n_updated, (SELECT count(*) FROM e WHERE ord % 3 = 0 AND source_id IN (SELECT id FROM n UNION SELECT id FROM rl) AND target_id IN (SELECT id FROM n UNION SELECT id FROM rl)) AS edges_added FROM up")
 def merge_totals(spark: SparkSession, d: str) -> DataFrame:
     """The counts of a merge with its edges: two thirds of the edges are there, all come in."""
     a, b = _sides(spark, d)

@@ -61,7 +61,7 @@ def importance(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def top_nodes(spark: SparkSession, d: str) -> DataFrame:
     g = Graph.load(spark, d)
-    return top_by(rank.importance(g, rounds=20).join(g.nodes.select("id", "tier"), "id").where("tier = 'micro'"), 10, F.desc("score"), F.asc("ord")).select("id", "score")
+    return top_by(rank.importance(g).join(g.nodes.select("id", "tier"), "id").where("tier = 'micro'"), 10, F.desc("score"), F.asc("ord")).select("id", "score")
 
 
 @query(f"{_DEGREE} SELECT n.id, row_number() OVER (ORDER BY dg.in_degree DESC NULLS LAST, ord) AS place FROM n LEFT JOIN dg USING (id) WHERE type = 'Endpoint'")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import schema
-from graphloom.graph import Graph, ranked, top_by
+from graphloom.graph import Graph, top_by
 from graphloom.operators import store
 from graphloom.plans.registry import TRIM, Registry
 from graphloom.session import load, plain
@@ -94,10 +94,9 @@ def mark_stale(spark: SparkSession, d: str) -> DataFrame:
     return g.mark_stale(g.nodes.where("confidence < 0.5")).nodes.groupBy("type").agg(F.count(F.when(F.col("is_stale"), 1)).alias("n_stale"))
 
 
-@query("SELECT id, confidence, row_number() OVER (ORDER BY confidence DESC, ord) AS place FROM n WHERE confidence >= 0.95 ORDER BY place LIMIT 100")
+@query("SELECT id, confidence FROM n WHERE confidence >= 0.95")
 def filter_confidence(spark: SparkSession, d: str) -> DataFrame:
-    top = top_by(Graph.load(spark, d).nodes.where("confidence >= 0.95"), 100, F.desc("confidence"), F.asc("ord"))
-    return ranked(top, [], F.desc("confidence"), F.asc("ord"), name="place").select("id", "confidence", "place")
+    return Graph.load(spark, d).nodes.where("confidence >= 0.95").orderBy(F.desc("confidence"), F.asc("ord")).select("id", "confidence")
 
 
 @query("SELECT id, name, confidence FROM n WHERE contains(lower(name), 'invoice') OR contains(lower(coalesce(description, '')), 'invoice') ORDER BY confidence DESC, ord LIMIT 20")
