@@ -9,10 +9,12 @@ after at most 10 000 slots: one period is simulated, every record finds its slot
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,14 @@ _encodings: dict = {}
 
 
 def encoding(path: str):
+    """The tokenizer of a vocabulary file: the copy sent to this worker, else the file itself."""
     if path not in _encodings:
         import base64
 
         import tiktoken
 
-        with open(path, "rb") as f:
+        sent = SparkFiles.get(os.path.basename(path))
+        with open(sent if os.path.exists(sent) else path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         _encodings[path] = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
     return _encodings[path]
@@ -43,7 +47,9 @@ def source_name(c: Column | str) -> Column:
 
 
 def token_counts(docs: DataFrame, key: str, text: str, source: Column, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, n_tokens): whole texts counted; a null text has none."""
+    """(doc_id, source, n_tokens): whole texts counted; a null text has none. The vocabulary file travels to the executors."""
+    if os.path.exists(tokenizer):
+        docs.sparkSession.sparkContext.addFile(tokenizer)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), source.alias("source"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,8 @@ LIMIT, OVERLAP = 6000, 200
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SPAN, DIMS = 10, 128
 PER_ROW = 256
+#: Lines whose words are held as vectors at once.
+STRETCH = 16_384
 
 
 def clean_path(path: Column) -> Column:
@@ -40,22 +42,29 @@ def oversized(items: DataFrame, files: DataFrame, limit: int = LIMIT) -> DataFra
     return j.select("id", "path", "first", "last", size.alias("size")).where(F.col("size") > limit)
 
 
-def gap_scores(lines: list[str]) -> np.ndarray:
-    """A score for the gap after each line: depth of its valley of lexical similarity, plus what speaks for an end of something there."""
-    n = len(lines)
-    vectors = np.zeros((n + 1, DIMS), np.float32)
+def _similarity(lines: list[str], first: int, last: int) -> np.ndarray:
+    """Cosine of the words of the SPAN lines up to each of the lines first to last and of the SPAN after it. Only these and the lines
+    around them are held as vectors, so a file of any length takes the memory of one stretch."""
+    lo, hi = max(0, first - SPAN), min(len(lines), last + SPAN)
+    counts = np.zeros((hi - lo + 1, DIMS), np.int32)
     rows, cols = [], []
-    for k, line in enumerate(lines):
-        words = WORD.findall(line)
-        rows += [k + 1] * len(words)
+    for k in range(lo, hi):
+        words = WORD.findall(lines[k])
+        rows += [k - lo + 1] * len(words)
         cols += [zlib.crc32(w.lower().encode()) % DIMS for w in words]
-    np.add.at(vectors, (rows, cols), 1)
-    np.cumsum(vectors, axis=0, out=vectors)
-    at = np.arange(1, n + 1)
-    left = vectors[at] - vectors[np.maximum(at - SPAN, 0)]
-    right = vectors[np.minimum(at + SPAN, n)] - vectors[at]
+    np.add.at(counts, (rows, cols), 1)
+    np.cumsum(counts, axis=0, out=counts)
+    at = np.arange(first + 1, last + 1) - lo
+    left = (counts[at] - counts[np.maximum(at - SPAN, 0)]).astype(np.float64)
+    right = (counts[np.minimum(at + SPAN, hi - lo)] - counts[at]).astype(np.float64)
     norm = np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)
-    sim = np.where(norm > 0, (left * right).sum(axis=1) / np.maximum(norm, 1e-9), 0.0)
+    return np.where(norm > 0, (left * right).sum(axis=1) / np.maximum(norm, 1e-9), 0.0)
+
+
+def gap_scores(lines: list[str]) -> np.ndarray:
+    """A score for the gap after each line: depth of its valley of lexical similarity, plus what speaks for an end of something there."""
+    n = len(lines)
+    sim = np.concatenate([_similarity(lines, at, min(at + STRETCH, n)) for at in range(0, n, STRETCH)])
     pad = np.pad(sim, SPAN, mode="edge")
     view = np.lib.stride_tricks.sliding_window_view(pad, SPAN + 1)
     depth = np.maximum(view[:n].max(axis=1) - sim, 0) + np.maximum(view[SPAN : SPAN + n].max(axis=1) - sim, 0)

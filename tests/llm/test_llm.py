@@ -346,6 +346,32 @@ def test_mixing(spark, tables):
     assert rows(q.p9_mix(spark, d)) == [] and len(rows(q.p9_shares(spark, d))) == 1
 
 
+def test_no_source_is_more_than_a_block_away(spark):
+    """In the mixed order every source has, at any point, its share of what was drawn so far but for one block and the record that is whole."""
+    rng = random.Random(9)
+    rows_ = [(k, rng.choice("aaaaaabbc"), rng.randrange(1, 60)) for k in range(4000)]
+    counted = spark.createDataFrame(rows_, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.55, 2), ("b", 0.3, 3), ("c", 0.15, 9)], "source string, target_share double, max_repeats int")
+    draws, shares = mixing.mix(counted, targets, block=256)
+    order = sorted(draws.collect(), key=lambda r: (r.slot, r.source, r.position))
+    got, total, worst = dict.fromkeys("abc", 0), 0, 0.0
+    want = {"a": 0.55, "b": 0.3, "c": 0.15}
+    for r in order:
+        got[r.source] += r.n_tokens
+        total += r.n_tokens
+        worst = max(worst, *(abs(got[s] - w * total) for s, w in want.items()))
+    assert worst <= 256 + 60 and all(abs(r.actual_share - want[r.source]) < 0.002 for r in shares.collect())
+
+
+def test_long_files_are_scored_in_stretches(monkeypatch):
+    rng = random.Random(4)
+    lines = [" ".join(rng.choices(["alpha", "beta", "gamma", "}", "x1"], k=rng.randrange(5))) for _ in range(700)]
+    whole = splitting.gap_scores(lines)
+    for stretch in (1, 97, 699):
+        monkeypatch.setattr(splitting, "STRETCH", stretch)
+        assert np.allclose(splitting.gap_scores(lines), whole)
+
+
 def test_sql(spark):
     import os
 
