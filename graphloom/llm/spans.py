@@ -125,8 +125,9 @@ def shared_spans(docs: DataFrame, key: str, text: str, at_least: int, copies: Da
     hits = hits.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     runs = hits.groupBy("a", "b", "shift", "run").agg(F.min("sa").alias("sa"), F.max("ea").alias("ea")).drop("run")
     near = 2 * (GRAM + NEAR)  # beyond this an extension would hold another block
-    runs = runs.select("a", "b", "sa", (F.col("sa") + F.col("shift")).alias("sb"), (F.col("ea") - F.col("sa")).alias("n"))
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.length("text") >= at_least)
+    runs = materialize(runs.select("a", "b", "sa", (F.col("sa") + F.col("shift")).alias("sb"), (F.col("ea") - F.col("sa")).alias("n")))
+    hit = runs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()  # other texts stay where they are
+    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.length("text") >= at_least).join(hit, "doc", "left_semi")
 
     def around(df: DataFrame, side: str) -> DataFrame:
         t, s = F.col("text"), F.col(f"s{side}")
