@@ -148,8 +148,20 @@ best AS (SELECT * FROM ranked WHERE k = 1),
 sizes AS (SELECT gid, count(DISTINCT record_id) AS n_records FROM records GROUP BY gid)"""
 
 
+_GRAMS = """rp AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS rep, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE length(text) >= 500),
+g AS (SELECT doc_id, k, md5(substr(text, k, 500)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 499)) AS k FROM rp WHERE rep = doc_id)),
+m AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.k AS ka, b.k AS kb FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p10_spans": f"""WITH {_GRAMS}, i AS (SELECT *, ka - row_number() OVER (PARTITION BY a, b, kb - ka ORDER BY ka) AS island FROM m)
+SELECT a, b, min(ka) - 1 AS start_a, min(kb) - 1 AS start_b, max(ka) - min(ka) + 500 AS length FROM i GROUP BY a, b, kb - ka, island""",
+        "p10_shared": f"""WITH {_GRAMS}, s AS (SELECT a AS doc, ka AS k, b AS other FROM m UNION SELECT b, kb, a FROM m), o AS (SELECT doc, count(DISTINCT other) AS others FROM s GROUP BY doc),
+c AS (SELECT doc, sum(least(500, k - before)) AS covered FROM (SELECT doc, k, coalesce(lag(k) OVER (PARTITION BY doc ORDER BY k), -500) AS before FROM (SELECT DISTINCT doc, k FROM s)) GROUP BY doc),
+d AS (SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, coalesce(rep, d.doc_id) AS rep, coalesce(copies, 1) AS copies FROM documents d LEFT JOIN rp ON rp.doc_id = d.doc_id),
+e AS (SELECT d.*, coalesce(others, 0) + copies - 1 AS n_partners, CASE WHEN copies > 1 THEN n_chars ELSE coalesce(covered, 0) END AS shared_chars FROM d LEFT JOIN o ON o.doc = rep LEFT JOIN c ON c.doc = rep)
+SELECT doc_id, n_chars, rep, n_partners, shared_chars::BIGINT AS shared_chars, CASE WHEN n_chars > 0 THEN round(shared_chars / n_chars, 6) ELSE 0.0 END::DOUBLE AS shared_ratio FROM e""",
         "p2_found": f"WITH {_P2} SELECT gid AS node_id, field, record_id FROM best WHERE gid IN (SELECT gid FROM sizes WHERE n_records > 1)",
         "p3_found": r"""WITH f AS (SELECT file_path, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS lens FROM source_files),
 n AS (SELECT id, regexp_replace(regexp_replace(replace(location.file_path, '\', '/'), '/{2,}', '/', 'g'), '^(\./|/)', '') AS path, least(location.start_line, location.end_line) AS a, greatest(location.start_line, location.end_line) AS b
