@@ -11,6 +11,7 @@ from graphloom.plans import graph_checks, rank_queries, traversal_queries
 from graphloom.plans.store_queries import HUB
 from pyspark.sql import functions as F
 
+
 def graph(spark, edges, kind="IMPORTS", more=()):
     """A graph of edges (source, target) between functions, in the order given."""
     ids = sorted({x for e in edges for x in e} | set(more))
