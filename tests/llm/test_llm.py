@@ -211,6 +211,19 @@ def test_handwritten(spark, tables):
     assert rows(q.p4_found(spark, d)) == []
 
 
+@pytest.mark.parametrize("times", [1, 8])
+def test_handwriting_held_by_many_at_two_sizes(spark, tables, times):
+    """Planted files, a fifth of the hand-written ones repeated under other names: neither size nor repetition changes what is found."""
+    rng = random.Random(times)
+    own = [written(rng, i) for i in range(120 * times)]
+    texts = [(t, False) for t in own] + [(t, False) for t in own[::5] for _ in range(3)]
+    texts += [(("# Code generated by tool. DO NOT EDIT.\n" if i % 2 else "") + generated(rng, i), True) for i in range(40 * times)]
+    files = [(i, f"p{i % 7}", f"f{i}.py", t, "", "") for i, (t, _) in enumerate(texts)]
+    found = {r.file_id for r in q.p4_found(spark, tables(source_files=(files, FILES))).collect()}
+    truth = {i for i, (_, bad) in enumerate(texts) if bad}
+    assert len(found & truth) >= 0.95 * len(truth) and len(found & truth) >= 0.95 * len(found)
+
+
 def test_notices():
     yes = ["// Code generated by protoc. DO NOT EDIT.", "/*\n * @generated by x 1.0\n */", "# SPDX-License-Identifier: MIT", "/* lib bundle */\nx", "// lib 1.2.3 | BSD-3-Clause | upstream copy, keep in step"]
     no = ["// the exporter writes a header saying DO NOT EDIT, generated code", "BANNER = '# Code generated by exporter. DO NOT EDIT.'", "// MIT licensed like the rest of this repository", "# auto-generated keys come from the id service", "# generated ids are kept stable (see routing)", ""]
