@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,36 +182,124 @@ def cluster_links(g: Graph, node_types: list[str], edge_types: list[str] | None)
     return members, pair.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
+#: Rows of a graph of communities, two a link, from which on the rest of the passes is done in one task, 24 bytes a row and as much again a
+#: few times over.
+FEW_LINKS = 6_000_000
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turns(labels: np.ndarray, r: int) -> np.ndarray:
+    """Whether pmod(xxhash64(label, r), 2) is 0, as Spark has it of a bigint and an int."""
+    u = np.uint64
+    turn = lambda v, k: (v << u(k)) | (v >> u(64 - k))
+
+    def mixed(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> u(33))) * _P2
+        h = (h ^ (h >> u(29))) * _P3
+        return h ^ (h >> u(32))
+
+    with np.errstate(over="ignore"):
+        h = u(42) + _P5 + u(8)
+        h = mixed(turn(h ^ (turn(labels.astype(u) * _P2, 31) * _P1), 27) * _P1 + _P4)
+        h = mixed(turn((h + _P5 + u(4)) ^ (u(r) * _P1), 23) * _P2 + _P3)
+    return (h & u(1)) == 0
+
+
+def settle(x: np.ndarray, y: np.ndarray, w: np.ndarray, total: float, passes: int, rounds: int) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+    """(vertices, their communities, whether rounds ran out, whether passes did): the passes of communities() over links that one task can
+    hold, move by move the same."""
+    first = np.lexsort((y, x))
+    x, y, w = x[first], y[first], w[first]
+    ids = labels = np.unique(x)
+    x, y, at, moving = np.searchsorted(ids, x), np.searchsorted(ids, y), np.arange(len(ids)), False
+    for _ in range(passes):
+        n = len(labels)
+        k, c, changed, still = np.bincount(x, w, n), np.arange(n), False, 0
+        apart = x != y
+        ex, ey, ew = x[apart], y[apart], w[apart]
+        for r in range(rounds):
+            on = _turns(labels, r)[ex]
+            key, v = ex[on] * n + c[ey[on]], ew[on]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            begin = np.flatnonzero(np.diff(key, prepend=-1))
+            into, near, to = np.add.reduceat(v[order], begin) if len(begin) else v[:0], key[begin] // n, key[begin] % n
+            size, stays = np.bincount(c, k, n), to == c[near]
+            gain = np.round(into - k[near] * (size[to] - np.where(stays, k[near], 0.0)) / total, 9)
+            now = np.round(-k * (size[c] - k) / total, 9)
+            now[near[stays]] = gain[stays]
+            begin = np.flatnonzero(np.diff(near, prepend=-1))
+            own = near[begin]
+            best = np.maximum.reduceat(gain, begin) if len(begin) else gain[:0]
+            which = np.where(gain == np.repeat(best, np.diff(begin, append=len(near))), to, n)
+            which = np.minimum.reduceat(which, begin) if len(begin) else which[:0]
+            go = best > now[own] + 1e-9
+            c = c.copy()
+            c[own[go]] = which[go]
+            changed |= bool(go.any())
+            still = 0 if go.any() else still + 1
+            if still == 2:
+                break
+        else:
+            moving = True
+        kept, c = np.unique(c, return_inverse=True)
+        labels, at = labels[kept], c[at]
+        if not changed:
+            return ids, labels[at], moving, False
+        key, links = np.unique(c[x] * len(kept) + c[y], return_inverse=True)
+        x, y, w = key // len(kept), key % len(kept), np.bincount(links, w)
+    return ids, labels[at], moving, True
+
+
 def communities(members: DataFrame, links: DataFrame, passes: int = 20, rounds: int = 60) -> DataFrame:
     """(id, community) by distributed Louvain: in each round every vertex weighs the communities of its neighbours and moves where
     modularity gains most; halves of the vertices (by a hash that changes with the round) take turns, which keeps neighbours from swapping.
     Then communities become vertices, pass after pass, until none moves; a warning tells if rounds or passes run out before. Ties go to the smallest label, so the result is the same every
-    time. Members without links are communities of their own. All is joins and sums on edges: nothing is gathered in one place."""
+    time. Members without links are communities of their own. As long as there are more than FEW_LINKS rows all is joins and sums on edges;
+    the passes left then are done in one task, by the same rounds, so where it begins changes no result."""
     v = materialize(members.select("id").distinct().sort("id").withColumn("u", F.monotonically_increasing_id()))
     a, b = v.select(F.col("id").alias("a"), F.col("u").alias("x")), v.select(F.col("id").alias("b"), F.col("u").alias("y"))
     one = links.join(a, "a").join(b, "b").select("x", "y", "w")
-    edges = materialize(one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y"), "w")))
-    total = edges.agg(F.sum("w")).first()[0] or 0.0
+    both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    edges, seen = materialize_with(one.select(F.inline(both), "w"), total=F.sum("w"), n=F.count(F.lit(1)))
+    total, n = seen["total"] or 0.0, seen["n"]
     place = v.select("u", F.col("u").alias("c"))
     if not total:
         return v.select("id", F.col("u").alias("community"))
-    for _ in range(passes):
-        deg = materialize(edges.groupBy("x").agg(F.sum("w").alias("k")))
-        com = materialize(deg.select("x", F.col("x").alias("c")))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        ids, found, moving, changing = settle(*(t.column(c).to_numpy() for c in ("x", "y", "w")), total, left, rounds)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found), pa.array([moving] * len(ids)), pa.array([changing] * len(ids))], ["x", "c", "moving", "changing"])
+
+    for done in range(passes):
+        if n <= FEW_LINKS:
+            left = passes - done
+            com, seen = materialize_with(edges.coalesce(1).mapInArrow(last, "x long, c long, moving boolean, changing boolean"), moving=F.max("moving"), changing=F.max("changing"))
+            if seen["moving"]:
+                warnings.warn(f"vertices still move after {rounds} rounds", stacklevel=2)
+            if seen["changing"]:
+                warnings.warn(f"communities still change after {passes} passes", stacklevel=2)
+            place = place.join(com.select(F.col("x").alias("c"), F.col("c").alias("d")), "c", "left").select("u", F.coalesce("d", "c").alias("c"))
+            break
+        com = materialize(edges.groupBy("x").agg(F.sum("w").alias("k")).select("x", F.col("x").alias("c"), "k"))
         changed, still = False, 0
         for r in range(rounds):
-            near = edges.where("x <> y").join(com.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy("x", "cy").agg(F.sum("w").alias("into"))
-            size = com.join(deg, "x").groupBy("c").agg(F.sum("k").alias("s"))
-            own = com.join(deg, "x").join(size, "c").select("x", "c", "k", F.col("s").alias("own_s"))
-            option = near.join(own, "x").join(size.select(F.col("c").alias("cy"), F.col("s").alias("cs")), "cy")
+            turn = F.pmod(F.xxhash64("x", F.lit(r)), F.lit(2)) == 0
+            near = edges.where("x <> y").where(turn).join(com.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy("x", "cy").agg(F.sum("w").alias("into"))
+            size = com.groupBy("c").agg(F.sum("k").alias("s"))
+            own = com.join(size, "c").select("x", "c", "k", F.col("s").alias("own_s"))
+            option = near.join(own.where(turn), "x").join(size.select(F.col("c").alias("cy"), F.col("s").alias("cs")), "cy")
             stays = F.col("cy") == F.col("c")
             gain = F.col("into") - F.col("k") * (F.col("cs") - F.when(stays, F.col("k")).otherwise(0.0)) / total
             best = option.groupBy("x").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (-F.col("cy")).alias("o"))).alias("b"), F.max(F.when(stays, F.round(gain, 9))).alias("now"))
             stay = F.coalesce("now", F.round(-F.col("k") * (F.col("own_s") - F.col("k")) / total, 9))
-            moves = own.join(best, "x", "left").select("x", "c", F.when((F.col("b.g") > stay + 1e-9) & (F.pmod(F.xxhash64("x", F.lit(r)), F.lit(2)) == 0), -F.col("b.o")).alias("to"))
-            new, seen = materialize_with(moves.select("x", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")), moved=F.count(F.when(F.col("moved"), 1)))
+            moves = own.join(best, "x", "left").select("x", "c", "k", F.when(F.col("b.g") > stay + 1e-9, -F.col("b.o")).alias("to"))
+            new, seen = materialize_with(moves.select("x", F.coalesce("to", "c").alias("c"), "k", F.col("to").isNotNull().alias("moved")), moved=F.count(F.when(F.col("moved"), 1)))
             moved = seen["moved"]
-            com = new.select("x", "c")
+            discard(com)
+            com = new
             changed |= moved > 0
             still = 0 if moved else still + 1
             if still == 2:  # each half of the vertices has had its turn
@@ -221,7 +310,8 @@ def communities(members: DataFrame, links: DataFrame, passes: int = 20, rounds:
         if not changed:
             break
         x, y = com.select("x", F.col("c").alias("cx")), com.select(F.col("x").alias("y"), F.col("c").alias("cy"))
-        edges = materialize(edges.join(x, "x").join(y, "y").groupBy("cx", "cy").agg(F.sum("w").alias("w")).select(F.col("cx").alias("x"), F.col("cy").alias("y"), "w"))
+        edges, seen = materialize_with(edges.join(x, "x").join(y, "y").groupBy("cx", "cy").agg(F.sum("w").alias("w")).select(F.col("cx").alias("x"), F.col("cy").alias("y"), "w"), n=F.count(F.lit(1)))
+        n = seen["n"]
     else:
         warnings.warn(f"communities still change after {passes} passes", stacklevel=2)
     return v.join(place, "u").select("id", F.col("c").alias("community"))

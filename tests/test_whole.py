@@ -142,3 +142,34 @@ def test_betweenness_of_all_nodes(spark, monkeypatch):
     want = brute_betweenness(edges)
     got = {r.id: r.betweenness for r in rank_queries.betweenness_all(spark, "").collect()}
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want) and got["function:b:2"] > 0
+
+
+def jobs(spark, run):
+    """What run() gives, and the number of Spark's jobs it took."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name := f"jobs-{random.random()}", "")
+    try:
+        return run(), len(sc.statusTracker().getJobIdsForGroup(name))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_turns_are_those_of_spark(spark):
+    labels = [0, 1, 7, 12345, (5 << 33) + 3, 2**40 + 1, *range(100, 160)]
+    df = spark.createDataFrame([(x,) for x in labels], "x long")
+    for r in (0, 1, 59):
+        want = [x.e for x in df.coalesce(1).select((F.pmod(F.xxhash64("x", F.lit(r)), F.lit(2)) == 0).alias("e")).collect()]
+        assert rank._turns(np.array(labels), r).tolist() == want
+
+
+def test_communities_take_few_jobs_and_the_same_moves(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = sorted({tuple(sorted(rng.sample(range(12), 2))) for _ in range(30)} | {tuple(sorted(rng.sample(range(12, 24), 2))) for _ in range(30)} | {(3, 15), (8, 20)})
+    links = spark.createDataFrame([(f"n{a:02}", f"n{b:02}", float(1 + (a + b) % 3)) for a, b in pairs], "a string, b string, w double").coalesce(1)
+    members = spark.createDataFrame([(f"n{i:02}",) for i in range(26)], "id string").coalesce(1)
+    run = lambda: {r.id: r.community for r in rank.communities(members, links).collect()}
+    found, n = jobs(spark, run)
+    assert n <= 20 and len(found) == 26 and 4 <= len(set(found.values())) < 26
+    for few in (0, 40):  # all passes by joins, the first ones by joins
+        monkeypatch.setattr(rank, "FEW_LINKS", few)
+        assert run() == found
