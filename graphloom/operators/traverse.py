@@ -102,20 +102,18 @@ def components(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return ranks.select(F.col("code").alias("u"), "id").join(label, "u").join(names, "l").select("id", "component")
 
 
-def smart_cascade(g: Graph, triggers: DataFrame, hops: int = 2) -> DataFrame:
-    """(trigger, id, depth): what turns stale if a trigger changes, triggers at depth 0. Structural edges count only from a trigger itself
-    and are not followed further; other edges are followed up to `hops`, in both directions. A neighbour of the trigger that both kinds of
-    edges join is followed only if its first edge (outgoing before incoming, then by insertion) is not structural."""
+def _cascade(g: Graph, triggers: DataFrame, hops: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(what smart_cascade() gives, the (trigger, id) of the last level from which it would go on, the (id, other) it goes on along)."""
     structural = F.col("type").isin(schema.STRUCTURAL)
     inc = g.incident().select("id", "other", "out", structural.alias("structural"), "ord")
+    follow = inc.where("not structural").select("id", "other")
     start = triggers.select("id").distinct()
-    first = start.join(inc, "id").where("id <> other").groupBy("id", "other").agg(F.min(F.struct((~F.col("out")).alias("late"), "ord", "structural"))["structural"].alias("structural"))
-    front = materialize(first.select(F.col("id").alias("trigger"), F.col("other").alias("id"), F.lit(1).alias("depth"), (~F.col("structural")).alias("goes_on"))) if hops > 0 else None
     seen = start.select(F.col("id").alias("trigger"), "id", F.lit(0).alias("depth"))
-    if front is None:
-        return seen
+    if hops <= 0:
+        return seen, seen.select("trigger", "id").limit(0), follow
+    first = start.join(inc, "id").where("id <> other").groupBy("id", "other").agg(F.min(F.struct((~F.col("out")).alias("late"), "ord", "structural"))["structural"].alias("structural"))
+    front = materialize(first.select(F.col("id").alias("trigger"), F.col("other").alias("id"), F.lit(1).alias("depth"), (~F.col("structural")).alias("goes_on")))
     seen = seen.unionByName(front.drop("goes_on"))
-    follow = inc.where("not structural").select("id", "other")
     front = front.where("goes_on")
     for depth in range(2, hops + 1):
         new = front.select("trigger", "id").join(follow, "id").select("trigger", F.col("other").alias("id")).distinct()
@@ -123,21 +121,67 @@ def smart_cascade(g: Graph, triggers: DataFrame, hops: int = 2) -> DataFrame:
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    return seen
+    return seen, front.select("trigger", "id"), follow
+
+
+def smart_cascade(g: Graph, triggers: DataFrame, hops: int = 2) -> DataFrame:
+    """(trigger, id, depth): what turns stale if a trigger changes, triggers at depth 0. Structural edges count only from a trigger itself
+    and are not followed further; other edges are followed up to `hops`, in both directions. A neighbour of the trigger that both kinds of
+    edges join is followed only if its first edge (outgoing before incoming, then by insertion) is not structural."""
+    return _cascade(g, triggers, hops)[0]
+
+
+#: Rows that the last hop of all cascades through one node would make, from which on that node is a hub.
+HUB_ROWS = 100_000
 
 
 def propagate_staleness(g: Graph, triggers: DataFrame, hops: int = 2) -> tuple[DataFrame, DataFrame]:
     """(totals per trigger, stale edges). A node counts as newly stale for the smallest trigger that reaches it, if it was not stale
-    before; an edge becomes stale if some cascade saw both its ends."""
-    seen = materialize(smart_cascade(g, triggers, hops))
-    owner = seen.groupBy("id").agg(F.min("trigger").alias("owner"))
+    before; an edge becomes stale if some cascade saw both its ends.
+
+    The last hop through a hub gives all its triggers the same nodes, so these are listed once for each group of triggers that come to the
+    same hubs, under the group's first trigger, and not once a trigger: that one is the owner of whatever the group sees in common."""
+    g = Graph(g.nodes, materialize(g.edges.select("source_id", "target_id", "type", "provenance", "ord")))
+    start = triggers.select("id").distinct().select(F.col("id").alias("trigger"))
+    seen, front, follow = _cascade(g, triggers, min(hops, max(1, hops - 1)))
+    front = materialize(front) if hops > 1 else front.limit(0)
+    follow = materialize(follow.join(front.select("id").distinct(), "id", "left_semi"))
+    ways = follow.groupBy("id").agg(F.count(F.lit(1)).alias("ways"))
+    hubs = materialize(front.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(ways, "id").where(F.col("n") * F.col("ways") > HUB_ROWS).select("id"))
+    of = front.join(hubs, "id", "left_semi").groupBy("trigger").agg(F.sort_array(F.collect_set("id")).alias("hubs"))
+    of = materialize(of.withColumn("first", F.min("trigger").over(Window.partitionBy("hubs"))))
+    at = of.where(F.col("trigger") == F.col("first")).select("first", F.explode("hubs").alias("id"))
+    held = materialize(at.unionByName(at.join(follow, "id").select("first", F.col("other").alias("id"))).distinct())
+    of = of.select("trigger", "first")
+    alone = front.join(hubs, "id", "left_anti").join(follow, "id").select("trigger", F.col("other").alias("id"))
+    alone = seen.select("trigger", "id").unionByName(alone).distinct().join(of, "trigger", "left")
+    alone = materialize(alone.join(held, ["first", "id"], "left_anti").select("trigger", "first", "id"))
+
+    pairs = alone.select("trigger", "id", F.lit(False).alias("shared")).unionByName(held.select(F.col("first").alias("trigger"), "id", F.lit(True).alias("shared")))
+    owner = pairs.groupBy("id").agg(F.min("trigger").alias("owner"), F.count(F.lit(1)).alias("n"))
     state = g.nodes.select("id", F.coalesce("is_stale", F.lit(False)).alias("was"))
-    rows = seen.join(owner, "id").join(state, "id", "left")
     newly = (F.col("trigger") == F.col("owner")) & (F.col("was") == F.lit(False))
-    totals = rows.groupBy("trigger").agg(F.count(F.lit(1)).alias("n_seen"), F.count(F.when(newly, 1)).alias("n_newly"), F.count(F.when(F.col("was"), 1)).alias("n_already"))
-    s, t = seen.select("trigger", F.col("id").alias("source_id")), seen.select("trigger", F.col("id").alias("target_id"))
-    edges = g.edges.select("source_id", "target_id", "type", "ord").join(s, "source_id").join(t, ["trigger", "target_id"]).groupBy("source_id", "target_id", "type").agg(F.min("trigger").alias("owner"))
-    return totals, edges
+    counts = [F.count(F.when(what & on, 1)).alias(f"{c}_{k}") for k, what in (("own", ~F.col("shared")), ("all", F.col("shared"))) for c, on in (("seen", F.lit(True)), ("newly", newly), ("already", F.col("was")))]
+    each = pairs.join(owner, "id").join(state, "id", "left").groupBy("trigger").agg(*counts)
+    group = Window.partitionBy(F.coalesce("first", "trigger"))
+    rows = start.join(each, "trigger", "left").join(of, "trigger", "left").na.fill(0)
+    total = lambda c, of_all: (F.col(f"{c}_own") + of_all).alias(f"n_{c}")
+    totals = rows.select("trigger", total("seen", F.sum("seen_all").over(group)), total("newly", F.col("newly_all")), total("already", F.sum("already_all").over(group)))
+
+    ends = materialize(owner.select("id", "n"))
+    e = g.edges.select("source_id", "target_id", "type").join(ends.select(F.col("id").alias("source_id"), F.col("n").alias("a")), "source_id")
+    e = materialize(e.join(ends.select(F.col("id").alias("target_id"), F.col("n").alias("b")), "target_id"))
+    lone = alone.where("first is not null").groupBy("first", "id").agg(F.min("trigger").alias("trigger"))
+    found = []
+    for near, far, fewer in (("source_id", "target_id", F.col("a") <= F.col("b")), ("target_id", "source_id", F.col("a") > F.col("b"))):
+        s, t = pairs.select("trigger", F.col("id").alias(near)), pairs.select("trigger", F.col("id").alias(far))
+        found.append(e.where(fewer).join(s, near).join(t, ["trigger", far]))  # from the end that fewer cascades see
+        found.append(e.join(lone.withColumnRenamed("id", near), near).join(held.withColumnRenamed("id", far), ["first", far]))
+    keys = ["source_id", "target_id", "type"]
+    every = found[0].select("trigger", *keys)
+    for x in found[1:]:
+        every = every.unionByName(x.select("trigger", *keys))
+    return totals, every.groupBy(*keys).agg(F.min("trigger").alias("owner"))
 
 
 def trace_flow(g: Graph, entries: DataFrame, max_depth: int = 10) -> DataFrame:

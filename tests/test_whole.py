@@ -173,3 +173,44 @@ def test_communities_take_few_jobs_and_the_same_moves(spark, monkeypatch):
     for few in (0, 40):  # all passes by joins, the first ones by joins
         monkeypatch.setattr(rank, "FEW_LINKS", few)
         assert run() == found
+
+
+def test_stale_by_way_of_hubs(spark, monkeypatch):
+    rng = random.Random(5)
+    ids = [f"n{i:02}" for i in range(60)]
+    edges = [(rng.choice(ids), rng.choice(["hub1", "hub2"])) for _ in range(70)] + [("hub1", "n03"), ("hub2", "hub1"), ("n05", "n05"), ("n07", "gone")]
+    edges = list(dict.fromkeys(edges + [tuple(rng.sample(ids, 2)) for _ in range(60)]))
+    kinds = ["CALLS", "CALLS", "CALLS", "CONTAINS"]
+    nodes = spark.createDataFrame([(x, i % 5 == 0 if i % 7 else None) for i, x in enumerate([*ids, "hub1", "hub2"])], "id string, is_stale boolean").coalesce(1)
+    rows = [(a, b, kinds[i % 4], None, i) for i, (a, b) in enumerate(edges)]
+    g = Graph(nodes, spark.createDataFrame(rows, "source_id string, target_id string, type string, provenance string, ord long").coalesce(1))
+    triggers = nodes.where("id < 'n20' or id = 'hub2'")
+    was = {r.id: bool(r.is_stale) for r in nodes.collect()}
+    for hops in (0, 1, 2, 3):
+        sees = defaultdict(set)
+        for r in traverse.smart_cascade(g, triggers, hops).collect():
+            sees[r.trigger].add(r.id)
+        owner = {x: min(t for t in sees if x in sees[t]) for t in sees for x in sees[t]}
+        totals = {(t, len(v), sum(owner[x] == t and was.get(x) is False for x in v), sum(was.get(x, False) for x in v)) for t, v in sees.items()}
+        stale = {(a, b, k, min(t for t in sees if a in sees[t] and b in sees[t])) for a, b, k, *_ in rows if any(a in v and b in v for v in sees.values())}
+        for least in (10, 10**9) if hops > 1 else (10,):
+            monkeypatch.setattr(traverse, "HUB_ROWS", least)
+            got, lost = traverse.propagate_staleness(g, triggers, hops)
+            assert {tuple(r) for r in got.collect()} == totals and {(r.source_id, r.target_id, r.type, r.owner) for r in lost.collect()} == stale
+
+
+def test_cascades_through_a_hub_are_kept_once(spark, monkeypatch):
+    written, keep = [], traverse.materialize
+
+    def counted(df, *args, **kw):
+        out = keep(df, *args, **kw)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(traverse, "materialize", counted)
+    edges = [(f"n{i:04}", "hub") for i in range(3000)]
+    nodes = spark.range(3000).select(F.format_string("n%04d", "id").alias("id"), F.lit(False).alias("is_stale")).coalesce(1)
+    e = spark.createDataFrame([(a, b, "CALLS", None, i) for i, (a, b) in enumerate(edges)], "source_id string, target_id string, type string, provenance string, ord long").coalesce(1)
+    totals, stale = traverse.propagate_staleness(Graph(nodes, e), nodes.where("id < 'n0300'"))
+    assert {(r.trigger, r.n_seen, r.n_newly) for r in totals.collect()} == {(f"n{i:04}", 3001, 0 if i else 3000) for i in range(300)}
+    assert {r.owner for r in stale.collect()} == {"n0000"} and sum(written) < 30_000
