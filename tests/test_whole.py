@@ -1,6 +1,7 @@
 """Operators do the whole job: results that no bound cuts off."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -214,3 +215,16 @@ def test_cascades_through_a_hub_are_kept_once(spark, monkeypatch):
     totals, stale = traverse.propagate_staleness(Graph(nodes, e), nodes.where("id < 'n0300'"))
     assert {(r.trigger, r.n_seen, r.n_newly) for r in totals.collect()} == {(f"n{i:04}", 3001, 0 if i else 3000) for i in range(300)}
     assert {r.owner for r in stale.collect()} == {"n0000"} and sum(written) < 30_000
+
+
+def test_walks_touch_only_what_they_reach():
+    n = 4_000_000
+    off, nxt = np.full(n + 1, 3, np.int32), np.array([1, 2, 3], np.int32)
+    off[:3] = [0, 1, 2]
+    scratch, total = rank._scratch(n), np.zeros(n)
+    began = time.process_time()
+    for s in [0, 1, 2, 3, n - 1] * 100:
+        at, delta = rank._dependencies(off, nxt, s, scratch)
+        total[at] += delta
+    assert time.process_time() - began < 0.5  # 0.02 s, and 1.6 s with arrays of all vertices for each source
+    assert total[:5].tolist() == [0, 200, 200, 0, 0] and (scratch[0] == -1).all()
